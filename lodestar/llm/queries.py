@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
