@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def utf8(values: pa.Array) -> list[bytes]:
 
 def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
