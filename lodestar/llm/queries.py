@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lodestar.llm.media import op7_ogg
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op7_ogg": op7_ogg,
     "op10_quality": op10_quality,
 }
 
