@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from lodestar.llm.media import op7_ogg
+from lodestar.llm.packing import op2_packing
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 from lodestar.llm.warc import op5_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op5_warc": op5_warc,
     "op7_ogg": op7_ogg,
     "op10_quality": op10_quality,
