@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestar.llm.decontaminate import OP8_SQL, op8_decontamination
 from lodestar.llm.media import op7_ogg
 from lodestar.llm.packing import op2_packing
 from lodestar.llm.quality import op10_quality
@@ -13,7 +14,10 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_warc": op5_warc,
     "op7_ogg": op7_ogg,
+    "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": OP8_SQL,
+}
