@@ -304,8 +304,8 @@ def op8_decontamination(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with lowered as (select row_number() over () as rid, doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') as parts from documents),
-doc as (select rid, doc_id, list_filter(parts, x -> x <> '') as w from lowered),
-item as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+doc as (select rid, doc_id, list_filter(parts, lambda x: x <> '') as w from lowered),
+item as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
 win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as s from (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) as i from item where len(w) > 0)),
 sizes as (select distinct n from win),
 place as (select rid, i, n, array_to_string(w[i : i + n - 1], ' ') as s from (select rid, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from doc, sizes where len(w) >= n)),
