@@ -8,11 +8,13 @@ from lodestar.llm.packing import op2_packing
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 from lodestar.llm.substrings import op4_substrings
+from lodestar.llm.toxicity import op3_toxicity
 from lodestar.llm.warc import op5_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_substrings": op4_substrings,
     "op5_warc": op5_warc,
     "op7_ogg": op7_ogg,
