@@ -146,6 +146,7 @@ class Network:
         m1, m2, t = {p: 0.0 for p in params}, {p: 0.0 for p in params}, 0
         prior = min(max(float(labels.mean()), 0.01), 0.99)
         self.c = np.float32(np.log(prior / (1 - prior)))
+        epochs = max(epochs, 200 * batch // max(len(texts), 1))  # a small sample still gets some hundred steps
         for epoch in range(epochs):
             order = r.permutation(len(texts))
             for i in range(0, len(order), batch):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestar.llm.decontaminate import OP8_SQL, op8_decontamination
 from lodestar.llm.media import op7_ogg
 from lodestar.llm.packing import op2_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_ogg": op7_ogg,
     "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

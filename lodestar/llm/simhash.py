@@ -194,3 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of every near-duplicate group: the smallest id, null ids last; equal ids by their place."""
+    rows = materialize(docs.withColumn("lodestar_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, "lodestar_row", text_col, width, radius)
+    ranked = rows.select(F.col("lodestar_row").alias("id"), F.col(id_col).alias("own")).join(groups.select("id", "component"), "id")
+    kept = ranked.groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), F.col("own"), F.col("id"))).alias("k")).select(F.col("k.id").alias("lodestar_row"))
+    return rows.join(kept, "lodestar_row", "left_semi").drop("lodestar_row")
