@@ -9,6 +9,7 @@ from lodestar.llm.packing import op2_packing
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 from lodestar.llm.substrings import op4_substrings
+from lodestar.llm.tokencount import op9_token_counts
 from lodestar.llm.toxicity import op3_toxicity
 from lodestar.llm.warc import op5_warc
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_ogg": op7_ogg,
     "op8_decontamination": op8_decontamination,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
