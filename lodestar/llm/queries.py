@@ -6,6 +6,7 @@ import corpus_pipeline
 from lodestar.llm.decontaminate import OP8_SQL, op8_decontamination
 from lodestar.llm.media import op7_ogg
 from lodestar.llm.packing import op2_packing
+from lodestar.llm.perplexity import op6_perplexity
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
 from lodestar.llm.substrings import op4_substrings
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_substrings": op4_substrings,
     "op5_warc": op5_warc,
+    "op6_perplexity": op6_perplexity,
     "op7_ogg": op7_ogg,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
