@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from lodestar.llm.common import materialize, sliced, table
 SIZE = 2048
 #: Bounds of the search: branches tried in all, fillings considered for each largest length.
 NODES, FILLINGS = 4000, 24
-CACHE = 200_000
+CACHE = 600_000
 
 
 def word_bpe_path() -> str:
@@ -38,11 +39,16 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalnum() or "\u00c0" <= c <= "\u024f" and c.isalpha() and len(c.lower()) == 1
+
+
 class Encoder:
     """Token ids (little-endian unsigned 32-bit) of whole texts.
 
-    The tokenizer drops white space and joins nothing across it, so a text is encoded by its parts between
-    blanks and line ends; parts seen before come from a bounded cache.
+    The tokenizer lowers case, drops white space and joins nothing across it, so a text is encoded by its parts
+    between blanks and line ends, with A-Z lowered; a comma or full stop after a letter is a part of its own.
+    Parts seen before come from a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -50,17 +56,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = {b"": b""}
+        self.add([b",", b"."])
+
+    def add(self, parts: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+        self.known.update(zip(parts, [array("I", e.ids).tobytes() for e in encoded]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        """Texts with "<|" are encoded whole: special tokens are looked for before case is lowered."""
+        parts = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.clear()
         known = self.known
-        new = list({p for words in parts for p in words if p not in known})
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in words]) for words in parts]
+        new = {p for words in parts for p in words if p not in known}
+        marked = {p for p in new if p[-1:] in (b",", b".") and len(p) > 1 and _letter(p[:-1].decode()[-1])}
+        bare = {p[:-1] for p in marked}
+        self.add([p for p in (new - marked) | bare if p not in known])
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+        out = [b"".join([known[p] for p in words]) for words in parts]
+        for i in (i for i, t in enumerate(texts) if "<|" in t):
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
 
     def encode(self, text: str, step: int = 1 << 20) -> bytes:
         """A long text goes in steps that end at a blank."""
