@@ -207,7 +207,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, other: list[str] = ()) ->
 def repeated_spans(docs: DataFrame, size: int = SIZE, keep_first: bool = False, limit: int = GROUP_LIMIT) -> DataFrame:
     """(rid, lo, hi): byte spans of the rows of ``docs`` (rid, text) that are covered by repeated windows; spans may overlap."""
     found = materialize(docs.select("rid", "text").mapInArrow(_anchor_rows(size), "rid long, h long, c1 long, c2 long, a long, s0 long, s1 long"), "anchors")
-    several = found.groupBy("h").count().where("count > 1").select("h")
+    several = materialize(found.groupBy("h").count().where("count > 1").select("h"), "several")
     shared = materialize(found.join(several, "h", "left_semi"), "shared")
     rep = F.min(F.struct("rid", "a", "s0", "s1")).alias("rep")
     classes = materialize(shared.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), rep).select("h", "c1", "c2", "n", "rep.*"), "classes")
