@@ -12,7 +12,7 @@ from lodestar.llm.simhash import op1_simhash
 from lodestar.llm.substrings import op4_substrings
 from lodestar.llm.tokencount import op9_token_counts
 from lodestar.llm.toxicity import op3_toxicity
-from lodestar.llm.warc import op5_warc
+from lodestar.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -29,5 +29,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }

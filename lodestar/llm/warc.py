@@ -211,3 +211,14 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     out = materialize(read, "records")
     discard(spark, folder, done)
     return out
+
+
+OP5_SQL = """
+with page as (select row_number() over () as r, page_id, encode(coalesce(html, '')) as b from pages),
+digest as (select r, page_id, octet_length(b) as n, sha1(b) as d from page),
+kept as (select d, n, max(page_id) as k, count(*) as c from digest where n >= 1000 group by d, n)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when c > 1 and k is distinct from page_id and k is not null then 'revisit' else 'response' end as record_type,
+  case when c > 1 and k is distinct from page_id then k end as refers_to
+from digest left join kept using (d, n)
+"""
