@@ -6,6 +6,7 @@ removing accents, and stemming - of the distinct tokens of a table, which are jo
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from lodestar.functions import stem
 
+OTHER = re.compile(r"[^\x00-\x7f]+")
 ANALYZERS = ("spanish", "english", "raw")
 # The stopwords, without accents.
 ENGLISH_STOPWORDS = (
@@ -37,7 +39,9 @@ STEMMERS = {"english": stem.english, "spanish": stem.spanish}
 
 def plain(text: str) -> str:
     """Lower case without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    if text.isascii():
+        return text.lower()
+    return OTHER.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", text.lower()))
 
 
 @F.pandas_udf(StringType())
@@ -84,16 +88,14 @@ def bag_of_words(docs: DataFrame, id_col: str, text_col: str, analyzer: str = "s
     if analyzer == "raw":
         terms = docs.select(key, F.explode(raw_terms(F.col(text_col))).alias("t")).select(id_col, "t.term", "t.n")
         return terms.groupBy(id_col, "term").agg(F.sum("n").alias("tf")).where("tf > 0")
-    tokens = docs.select(key, F.explode(content_words(F.col(text_col), analyzer)).alias("token"))
-    counts = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = docs.select(key, F.explode(words(F.col(text_col))).alias("token"))
+    counts = tokens.where(~F.col("token").isin(STOPWORDS[analyzer])).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
     stems = counts.select("token").distinct().withColumn("term", stemmer(analyzer)("token"))
     return counts.join(stems, "token").groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
 
 def query_terms(text: str, analyzer: str = "spanish") -> list[str]:
     """The terms of a query, as the analyzer makes them of a document; repeats stay."""
-    import re
-
     if analyzer == "raw":
         out = []
         for part in text.split():
