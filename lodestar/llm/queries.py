@@ -9,7 +9,7 @@ from lodestar.llm.packing import op2_packing
 from lodestar.llm.perplexity import op6_perplexity
 from lodestar.llm.quality import op10_quality
 from lodestar.llm.simhash import op1_simhash
-from lodestar.llm.substrings import op4_substrings
+from lodestar.llm.substrings import OP4_SQL, op4_substrings
 from lodestar.llm.tokencount import op9_token_counts
 from lodestar.llm.toxicity import op3_toxicity
 from lodestar.llm.warc import OP5_SQL, op5_warc
@@ -29,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }

@@ -324,3 +324,18 @@ def op4_substrings(spark, sf_dir: str) -> DataFrame:
     """Null and empty texts have no bytes; texts under 400 bytes lose none; repeated rows count as different texts."""
     docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "text")
     return digests(with_spans(docs)).withColumnRenamed("id", "doc_id")
+
+
+OP4_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, s, md5(substr(h, 2 * s + 1, 800)) as k from (select r, h, unnest(generate_series(0, length(h) // 2 - 400)) as s from d where length(h) >= 800)),
+again as (select k from w group by k having count(*) > 1),
+hit as (select r, s, lag(s) over (partition by r order by s) as p from w semi join again using (k)),
+run as (select r, s, sum(case when p is null or s > p + 400 then 1 else 0 end) over (partition by r order by s) as g from hit),
+span as (select r, min(s) as lo, max(s) + 400 as hi from run group by r, g),
+seg as (select r, lo, hi, lag(hi, 1, 0) over (partition by r order by lo) as before from span),
+cut as (select r, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as k, max(hi) as e, sum(hi - lo) as removed, count(*) as n from seg join d using (r) group by r)
+select doc_id, length(h) // 2 as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0) as n_spans,
+  sha256(unhex(case when e is null then h else k || substr(h, 2 * e + 1) end)) as kept_sha256
+from d left join cut using (r)
+"""
