@@ -29,7 +29,7 @@ from lodestar.llm.common import materialize, sliced, table
 
 SIZE = 2048
 #: Bounds of the search: branches tried in all, fillings considered for each largest length.
-NODES, FILLINGS = 4000, 24
+NODES, FILLINGS = 300, 24
 CACHE = 600_000
 
 
@@ -192,47 +192,41 @@ def plan(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> list[t
     best = best_fit(counts, size)
     count = lambda p: sum(n for _, n in p)
     total, least = sum(x * n for x, n in counts.items()), lower_bound(counts, size)
-    spent = 0
-    stack: list[tuple[dict, tuple, int]] = [(counts, (), 0)]  # lengths left, steps so far (linked), waste so far
-    while stack and count(best) > least and spent < nodes:
-        left, steps, waste = stack.pop()
-        spent += 1
-        if waste > (count(best) - 1) * size - total:
+    left, steps, waste, spent = dict(counts), [], 0, 1
+    frames = [branches(left, size)]  # one state, changed and restored; a frame for each step taken
+    while frames and count(best) > least and spent < nodes:
+        if not frames[-1]:
+            frames.pop()
+            if steps:
+                pattern, times, lost = steps.pop()
+                waste -= lost
+                for x, t in pattern:
+                    left[x] = left.get(x, 0) + t * times
             continue
-        if not left:
-            done, node = [], steps
-            while node:
-                node, pattern, times = node
-                done.append((pattern, times))
-            best = done
+        pattern, lost = frames[-1].pop()
+        times = min(left[x] // t for x, t in pattern)
+        if waste + lost * times > (count(best) - 1) * size - total:
             continue
-        rest = best_fit(left, size)
-        used, node = 0, steps
-        while node:
-            used += node[2]
-            node = node[0]
-        if used + count(rest) < count(best):  # an incumbent: this branch, completed by best fit
-            done, node = list(rest), steps
-            while node:
-                node, pattern, times = node
-                done.append((pattern, times))
-            best = done
-        lengths = sorted(left, reverse=True)
-        first = lengths[0]
-        branches = []
-        for chosen, lost in fillings(first, left, lengths, size):
-            pattern = merged(first, chosen)
-            times = min(left[x] // t for x, t in pattern)
-            new = dict(left)
-            for x, t in pattern:
-                new[x] -= t * times
-                if not new[x]:
-                    del new[x]
-            branches.append((new, (steps, pattern, times), waste + lost * times))
-        stack.extend(reversed(branches))
+        spent += 1
+        steps.append((pattern, times, lost * times))
+        waste += lost * times
+        for x, t in pattern:
+            left[x] -= t * times
+            if not left[x]:
+                del left[x]
+        rest = best_fit(left, size)  # an incumbent: this branch, completed by best fit
+        if sum(n for _, n, _ in steps) + count(rest) < count(best):
+            best = [*[(p, n) for p, n, _ in steps], *rest]
+        frames.append(branches(left, size) if left else [])
     return best
 
 
+def branches(left: dict[int, int], size: int) -> list[tuple[tuple, int]]:
+    """(pattern, waste) of the undominated fillings around the largest length, the best one last."""
+    lengths = sorted(left, reverse=True)
+    return [(merged(lengths[0], chosen), lost) for chosen, lost in reversed(fillings(lengths[0], left, lengths, size))] if lengths else []
+
+
 def ranges(patterns: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
     """The plan as sorted ranges: pieces lo.. of a length, ``repeats`` for each of its times in the pattern."""
     at: Counter = Counter()
