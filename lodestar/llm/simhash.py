@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_batches, materialize, table, utf8
+from lodestar.llm.common import map_batches, materialize, sliced, table, utf8
 from lodestar.llm.components import connected_components
 
-PIVOTS = np.random.default_rng(7).integers(0, 2**64, 24, dtype=np.uint64)
+PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 1), dtype=np.uint64)
 #: A block with more distinct fingerprints than this is dealt again by a fourth part of its other bits.
 BLOCK_LIMIT = 16_384
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, "text")):
             fp = np.array([fingerprint(t, width) for t in utf8(batch["text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(fp)], ["id", "fp"])
 
@@ -76,11 +76,15 @@ def block_masks(radius: int) -> list[int]:
 
 
 def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that span the links inside each group. Memory is linear in the rows, never in the pairs."""
-    first = np.bitwise_count(fp ^ pivots[0]).astype(np.int16)
-    order = np.lexsort((fp, first, group))
+    """Row pairs that span the links inside each group. Memory is linear in the rows, never in the pairs.
+
+    fp: (rows, words) of fingerprint bits; pivots: (pivots, words).
+    """
+    distance = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+    first = distance(fp, pivots[0])
+    order = np.lexsort((fp[:, 0], first, group))
     group, fp, first = group[order], fp[order], first[order]
-    coords = np.bitwise_count(fp[:, None] ^ pivots[None, 1:]).astype(np.int8)
+    coords = np.stack([distance(fp, p) for p in pivots[1:]], 1)
     n = len(fp)
     root = np.arange(n)
     out_a: list[int] = []
@@ -105,7 +109,7 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray =
         for c in range(0, coords.shape[1], 6):  # largest coordinate difference, some pivots at a time
             keep = (np.abs(coords[a, c : c + 6] - coords[b, c : c + 6]) <= radius).all(1)
             a, b = a[keep], b[keep]
-        linked = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+        linked = distance(fp[a], fp[b]) <= radius
         joined = False
         for i, j in zip(a[linked].tolist(), b[linked].tolist()):
             x, y = find(i), find(j)
@@ -121,15 +125,16 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray =
     return order[np.array(out_a, np.int64)], order[np.array(out_b, np.int64)]
 
 
-def _block_edges(radius: int, chunk: int = 100_000):
+def _block_edges(radius: int, words: tuple[str, ...] = ("fp",), pivots: np.ndarray = PIVOTS, chunk: int = 100_000):
     def emit(rows: pa.Table) -> pa.RecordBatch:
-        key, part, fp, rep = (rows[c].to_numpy() for c in ("key", "part", "fp", "rep"))
+        key, part, rep = (rows[c].to_numpy() for c in ("key", "part", "rep"))
+        fp = np.column_stack([rows[w].to_numpy() for w in words])
         change = np.ones(len(key), bool)
         change[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         group = np.cumsum(change)
         size = np.bincount(group)[group]
         some = np.flatnonzero(size > 1)
-        a, b = forest(group[some], fp[some].view(np.uint64), radius)
+        a, b = forest(group[some], fp[some].view(np.uint64), radius, pivots)
         return pa.RecordBatch.from_arrays([pa.array(rep[some][a]), pa.array(rep[some][b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +201,109 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of every near-duplicate group: the smallest id, null ids last; equal ids by their place."""
+# A wider fingerprint for a stated similarity.
+
+WORDS = 4
+BITS = 64 * WORDS
+WIDE = tuple(f"w{i}" for i in range(WORDS))
+WIDE_PIVOTS = np.random.default_rng(8).integers(0, 2**64, (7, WORDS), dtype=np.uint64)
+_SEEDS = np.random.default_rng(9).integers(0, 2**64, WORDS, dtype=np.uint64)
+#: Share of the pairs a little (0.05) above the similarity that the tables must bring together.
+RECALL = 0.95
+
+
+def bit_distance(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets of equal size with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
+    """SimHash of the set of word shingles, in WORDS words of 64 bits."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WORDS, np.uint64)
+    flat = b" ".join(words)
+    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(flat)]
+    digest = xxhash.xxh3_64_intdigest
+    h = np.unique(np.array([digest(flat[s:e]) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], np.uint64))
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 13):
+        x = h[i : i + (1 << 13), None] ^ _SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * WORDS), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(h)).view(np.uint64)
+
+
+def table_masks(rows: int, similarity: float) -> np.ndarray:
+    """(tables, WORDS): random bits whose equality makes two fingerprints meet.
+
+    As many bits as tell ``rows`` unrelated fingerprints apart, and as many tables as RECALL needs with them.
+    """
+    bits = max(20, int(np.ceil(np.log2(max(rows, 2)))))
+    meet = (1 - bit_distance(min(similarity + 0.05, 1.0))) ** bits
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet))) if meet < 1 else 1
+    r, out = np.random.default_rng(10), np.zeros((tables, WORDS), np.uint64)
+    for t in range(tables):
+        for b in r.choice(BITS, bits, replace=False).tolist():
+            out[t, b // 64] |= np.uint64(1 << (b % 64))
+    return out
+
+
+def _table_rows(masks: np.ndarray):
+    odd = np.random.default_rng(11).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                fp = np.column_stack([batch[w].to_numpy() for w in WIDE]).view(np.uint64)
+                for t, mask in enumerate(masks):
+                    x = (fp & mask) * odd
+                    x ^= x >> np.uint64(32)
+                    key = (x * odd[::-1]).sum(1, dtype=np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), *[batch[w] for w in WIDE], batch["rep"]], ["part", "key", *WIDE, "rep"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) under links of the stated similarity of word shingle sets, as estimated by 256 fingerprint bits.
+
+    Pairs a twentieth above the similarity meet in some table with probability RECALL; the ids are whole numbers
+    and not null. Wordless texts are alike.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, "text")):
+            fp = np.array([wide_fingerprint(t, width) for t in utf8(batch["text"])], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WORDS)]], ["id", *WIDE])
+
+    columns = ", ".join(f"{w} long" for w in WIDE)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = materialize(map_batches(source, prints, f"id long, {columns}"), "prints")
+    classes = materialize(found.groupBy(*WIDE).agg(F.min("id").alias("rep")), "classes")
+    masks = table_masks(classes.count(), similarity)
+    dealt = map_batches(classes.select(*WIDE, "rep"), _table_rows(masks), f"part int, key long, {columns}, rep long")
+    dealt = dealt.repartition("part", "key").sortWithinPartitions("part", "key")
+    d = bit_distance(similarity)
+    radius = round(BITS * d + np.sqrt(BITS * d * (1 - d)))  # one standard deviation, so most pairs at the similarity pass
+    edges = map_batches(dealt, _block_edges(radius, WIDE, WIDE_PIVOTS), "a long, b long")
+    parts = connected_components(edges, "a", "b")
+    of = classes.join(parts, classes.rep == parts.node, "left").select(*WIDE, F.coalesce("component", "rep").alias("component"))
+    return found.join(of, list(WIDE)).select("id", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of every near-duplicate group: the smallest id, null ids last; equal ids by their place.
+
+    Texts without words stay: there is nothing in them that another has too.
+    """
     rows = materialize(docs.withColumn("lodestar_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows, "lodestar_row", text_col, width, radius)
-    ranked = rows.select(F.col("lodestar_row").alias("id"), F.col(id_col).alias("own")).join(groups.select("id", "component"), "id")
-    kept = ranked.groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), F.col("own"), F.col("id"))).alias("k")).select(F.col("k.id").alias("lodestar_row"))
-    return rows.join(kept, "lodestar_row", "left_semi").drop("lodestar_row")
+    wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x09-\x0d\x20]*$")
+    groups = similar_groups(rows.where(~wordless), "lodestar_row", text_col, width, similarity)
+    ranked = rows.select(F.col("lodestar_row").alias("id"), F.col(id_col).alias("own")).join(groups, "id", "left")
+    ranked = ranked.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct(F.col("own").isNull(), F.col("own"), F.col("id"))).alias("k"))
+    return rows.join(ranked.select(F.col("k.id").alias("lodestar_row")), "lodestar_row", "left_semi").drop("lodestar_row")

@@ -79,3 +79,31 @@ def test_empty_table_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "A B C D"), (None, "zz yy xx ww")], "doc_id long, text string")
     rows = [(r["id"], r["component"]) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(rows, key=str) == sorted([(None, 2), (4, 2), (4, 2), (2, 2), (None, None)], key=str)
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    r = random.Random(2)
+    vocab = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(3000)]
+    texts, family = [], []
+    for f in range(60):
+        base = r.choices(vocab, k=200)
+        for e in (0, 1, 2, 2, 3):  # edits; five shingles each: 0.85 and more
+            new = list(base)
+            for at in r.sample(range(0, 200, 6), e):
+                new[at] = "edit" + str(r.random())
+            texts.append(" ".join(new))
+            family.append(f)
+    half = texts[0].split()[:100] + r.choices(vocab, k=100)  # similarity about a third
+    texts += [" ".join(half), texts[5], None, "", "\n"]
+    family += [60, family[5], 61, 62, 63]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x["component"] for x in simhash.similar_groups(docs, "doc_id").collect()}
+    assert all(family[i] == family[c] for i, c in got.items() if texts[i] and texts[i].strip())
+    apart = sum(got[i] != family.index(family[i]) for i in range(300))
+    assert apart <= 6
+    kept = {x["doc_id"] for x in simhash.one_of_each(docs).collect()}
+    assert {300, 302, 303, 304} <= kept and {i * 5 for i in range(60)} <= kept and len(kept) <= 64 + apart
+    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "x y z")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(odd).collect()), key=str) == sorted([(7, "a b c d e f"), (None, None), (3, "x y z")], key=str)
+    assert simhash.one_of_each(odd.limit(0)).count() == 0
