@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestar.llm.common import materialize, sliced, table, utf8
+from lodestar.llm.common import materialize, new_path, sliced, table, utf8
 from lodestar.llm.suffixsort import deep_shallow
 
 GRAM = 32
@@ -200,7 +200,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, other: list[str] = ()) ->
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *other)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lodestar_texts_{uuid.uuid4().hex}"
-    rows.repartition(n, "rid").write.bucketBy(n, "rid").option("compression", "zstd").saveAsTable(name)
+    rows.repartition(n, "rid").write.bucketBy(n, "rid").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
     return spark.table(name)
 
 
