@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.datagen import employees
+from lodestar.functions import features
 from lodestar.functions import text as tx
 from lodestar.functions.geo import haversine_km, within_box, within_radius
 from lodestar.functions.match import condition
@@ -279,6 +280,19 @@ def kmeans_assign(spark, d):
     return table(spark, d, "embeddings").select("vec_id", names[nearest_cell(F.col("embedding"), centres, "L2")].alias("cell"))
 
 
+@query(f"with {VEC}, {CENTRES}, own as (select vec_id, vec.label, arg_min(centres.label, list_distance(c, e)) as w from vec, centres group by vec_id, vec.label), n as (select label, w, count(*) as n from own group by label, w) select label, string_agg('v' || w || ':' || n, ' ' order by w) as words from n group by label")
+def visual_words(spark, d):
+    """Vectors as descriptors of their label's row, label centres (numbered from 0) as words."""
+    labels, centres = label_centres(spark, d)
+    assert labels == list(range(len(labels)))
+    return features.visual_words(table(spark, d, "embeddings"), "label", "embedding", centres)
+
+
+@query()
+def pca_shortened(spark, d):
+    return features.shortened(table(spark, d, "embeddings"), "embedding", 16).select("vec_id", "short")
+
+
 @query()
 def kmeans_train(spark, d):
     centres = train_centres(table(spark, d, "embeddings"), "embedding", "vec_id", 12)
