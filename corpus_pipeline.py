@@ -13,7 +13,7 @@ from lodestar.llm import decontaminate, packing, quality, simhash, substrings
 from lodestar.llm.common import discard, materialize, table
 
 #: Passages of this many bytes that a text shares with an earlier place are cut.
-REPEAT_BYTES = 200
+REPEAT_BYTES = 300
 
 
 def same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from lodestar.llm.common import materialize, sliced, table
 SIZE = 2048
 #: Bounds of the search: branches tried in all, fillings considered for each largest length.
 NODES, FILLINGS = 300, 24
-CACHE = 600_000
+CACHE = 400_000
 
 
 def word_bpe_path() -> str:
