@@ -12,6 +12,7 @@ spanning forest of its links, so a block of n near copies gives at most n-1 rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_batches, materialize, sliced, table, utf8
+from lodestar.llm.common import discard, map_batches, materialize, new_path, sliced, table, utf8
 from lodestar.llm.components import connected_components
 
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 1), dtype=np.uint64)
@@ -201,99 +202,187 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# A wider fingerprint for a stated similarity.
+# Groups by the similarity of shingle sets itself.
 
-WORDS = 4
-BITS = 64 * WORDS
-WIDE = tuple(f"w{i}" for i in range(WORDS))
-WIDE_PIVOTS = np.random.default_rng(8).integers(0, 2**64, (7, WORDS), dtype=np.uint64)
-_SEEDS = np.random.default_rng(9).integers(0, 2**64, WORDS, dtype=np.uint64)
-#: Share of the pairs a little (0.05) above the similarity that the tables must bring together.
-RECALL = 0.95
+#: Every SAMPLE-th row (by a hash) is counted to find frequent shingles; at most MOST_FREQUENT of them are told to the tasks.
+SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 16, 4, 500_000
+#: Keys with more rows than this are linked by way of representatives first, in at most STAR_ROUNDS rounds.
+STAR_LIMIT, STAR_ROUNDS = 16, 3
+#: Keys whose rows are still apart then, and more than this, are dealt to several blocks.
+DEAL = 4096
+SETS = "id long, c1 long, c2 long, n int, shingles array<long>"
 
 
-def bit_distance(similarity: float) -> float:
-    """Expected share of differing bits of two shingle sets of equal size with this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
-    """SimHash of the set of word shingles, in WORDS words of 64 bits."""
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the different word shingles; a shorter text is one shingle."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.int64)
     flat = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(flat)]
     digest = xxhash.xxh3_64_intdigest
-    h = np.unique(np.array([digest(flat[s:e]) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], np.uint64))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 1 << 13):
-        x = h[i : i + (1 << 13), None] ^ _SEEDS
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * WORDS), axis=1).sum(0, dtype=np.int32)
-    return np.packbits(ones * 2 > len(h)).view(np.uint64)
+    return np.unique(np.array([digest(flat[s:e]) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], np.uint64).view(np.int64))
 
 
-def table_masks(rows: int, similarity: float) -> np.ndarray:
-    """(tables, WORDS): random bits whose equality makes two fingerprints meet.
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
-    As many bits as tell ``rows`` unrelated fingerprints apart, and as many tables as RECALL needs with them.
-    """
-    bits = max(20, int(np.ceil(np.log2(max(rows, 2)))))
-    meet = (1 - bit_distance(min(similarity + 0.05, 1.0))) ** bits
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet))) if meet < 1 else 1
-    r, out = np.random.default_rng(10), np.zeros((tables, WORDS), np.uint64)
-    for t in range(tables):
-        for b in r.choice(BITS, bits, replace=False).tolist():
-            out[t, b // 64] |= np.uint64(1 << (b % 64))
-    return out
+
+def _set_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
+            sets = [shingle_set(t, width) for t in utf8(batch["text"])]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], ["id", "c1", "c2", "n", "shingles"])
+
+    return run
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets alike in ``similarity`` or more, the first so many elements in any common order share one."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _table_rows(masks: np.ndarray):
-    odd = np.random.default_rng(11).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+def _prefix_rows(frequent: np.ndarray, often: np.ndarray, similarity: float):
+    """frequent: sorted shingles, often: their counts. Rare shingles come first, so a key has few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                fp = np.column_stack([batch[w].to_numpy() for w in WIDE]).view(np.uint64)
-                for t, mask in enumerate(masks):
-                    x = (fp & mask) * odd
-                    x ^= x >> np.uint64(32)
-                    key = (x * odd[::-1]).sum(1, dtype=np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), *[batch[w] for w in WIDE], batch["rep"]], ["part", "key", *WIDE, "rep"])
+        for batch in batches:
+            ids, keys = [], []
+            for i, s in zip(batch["id"].to_pylist(), batch["shingles"]):
+                s = s.values.to_numpy()
+                weight = np.zeros(len(s), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    weight = np.where(frequent[at] == s, often[at], 0)
+                first = s[np.lexsort((s, weight))[: prefix_length(len(s), similarity)]]
+                keys.append(first)
+                ids.append(np.full(len(first), i))
+            n = [np.full(len(k), x, np.int32) for k, x in zip(keys, batch["n"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, t)) for v, t in ((keys, np.int64), (ids, np.int64), (n, np.int32))], ["key", "id", "n"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) under links of the stated similarity of word shingle sets, as estimated by 256 fingerprint bits.
+def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
+    """Pairs of one key whose components differ and whose sizes allow the similarity."""
+
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, side, n, i, of = (rows[c].to_numpy() for c in ("key", "side", "n", "id", "component"))
+        order = np.lexsort((n, key))
+        key, side, n, i, of = key[order], side[order], n[order], i[order], of[order]
+        left, k = np.arange(len(key)), 1
+        while len(left):
+            left = left[left + k < len(key)]
+            right = left + k
+            left = left[(key[left] == key[right]) & (n[left] >= similarity * n[right] - 1e-9)]  # by size: a pair too far apart ends its row
+            a, b = left, left + k
+            live = (of[a] != of[b]) & ((side[a] < 0) | (side[a] != side[b]))
+            x, y = i[a[live]], i[b[live]]
+            for s in range(0, len(x), most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[s : s + most]), pa.array(np.maximum(x, y)[s : s + most])], ["a", "b"])
+            k += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < chunk:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows["key"].to_numpy()
+            cut = int(np.argmax(key == key[-1]))  # the last key may go on
+            if cut:
+                yield from emit(rows.slice(0, cut))
+                held, count = rows.slice(cut).to_batches(), count - cut
+        if count:
+            yield from emit(pa.Table.from_batches(held))
+
+    return run
+
+
+def _by_id(sets: DataFrame) -> DataFrame:
+    """The rows in a table bucketed by id: joins on it do not move the sets again."""
+    spark = sets.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lodestar_sets_{uuid.uuid4().hex}"
+    sets.repartition(n, "id").write.bucketBy(n, "id").option("compression", "zstd").option("path", new_path(spark, "sets")).saveAsTable(name)
+    return spark.table(name)
 
-    Pairs a twentieth above the similarity meet in some table with probability RECALL; the ids are whole numbers
-    and not null. Wordless texts are alike.
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return shared.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFrame:
+    """(a, b) of rows (key, id, n, rows, component) that share enough keys for the similarity.
+
+    With prefixes of p of n elements, the overlap is at most the shared keys and the longer rest n - p. A key of over
+    ``limit`` rows is cut into sides by a hash of the id, and every two sides meet in a block of their own.
     """
+    base = ["key", "id", "n", "component"]
+    tagged = rows.where(F.col("rows") <= limit).select(*base, F.lit(-1).cast("long").alias("side"))
+    hot = rows.where(F.col("rows") > limit).withColumn("sides", F.ceil(F.col("rows") / limit).cast("long"))
+    hot = hot.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    tagged = tagged.union(hot.select(block.alias("key"), "id", "n", "component", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side")))
+    dealt = tagged.repartition("key").sortWithinPartitions("key")
+    met = map_batches(dealt, _pairs(similarity), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    sizes = rows.select("id", "n").distinct()
+    met = met.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    rest = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    enough = F.col("met") + F.greatest(rest("na"), rest("nb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    return met.where(enough).select("a", "b")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in sliced(whole, "text")):
-            fp = np.array([wide_fingerprint(t, width) for t in utf8(batch["text"])], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WORDS)]], ["id", *WIDE])
 
-    columns = ", ".join(f"{w} long" for w in WIDE)
+def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) under links of word shingle sets with at least this Jaccard similarity; wordless texts are alike.
+
+    Exact up to equal 64-bit hashes: two such sets share a shingle among the first of each (prefix filter, rare ones
+    first), and every pair that shares enough of them is verified on the sets. Any common order is exact, so the
+    frequent shingles may come from a part of the rows. Ids are whole numbers and not null.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(map_batches(source, prints, f"id long, {columns}"), "prints")
-    classes = materialize(found.groupBy(*WIDE).agg(F.min("id").alias("rep")), "classes")
-    masks = table_masks(classes.count(), similarity)
-    dealt = map_batches(classes.select(*WIDE, "rep"), _table_rows(masks), f"part int, key long, {columns}, rep long")
-    dealt = dealt.repartition("part", "key").sortWithinPartitions("part", "key")
-    d = bit_distance(similarity)
-    radius = round(BITS * d + np.sqrt(BITS * d * (1 - d)))  # one standard deviation, so most pairs at the similarity pass
-    edges = map_batches(dealt, _block_edges(radius, WIDE, WIDE_PIVOTS), "a long, b long")
-    parts = connected_components(edges, "a", "b")
-    of = classes.join(parts, classes.rep == parts.node, "left").select(*WIDE, F.coalesce("component", "rep").alias("component"))
-    return found.join(of, list(WIDE)).select("id", "component")
+    found = materialize(map_batches(source, _set_rows(width), SETS), "sets")
+    classes = materialize(found.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
+    sets = _by_id(found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "shingles"))
+    some = found.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s"))
+    often = some.groupBy("s").count().where(F.col("count") >= LEAST_OFTEN).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    s, count = often["s"].to_numpy(), often["count"].to_numpy()
+    order = np.argsort(s)
+    prefixes = map_batches(sets.select("id", "n", "shingles"), _prefix_rows(s[order], count[order], similarity), "key long, id long, n int")
+    prefixes = materialize(prefixes, "prefixes")
+    shared = materialize(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
+    rows = materialize(prefixes.join(shared, "key").select("key", "id", "n", "rows"), "shared")
+    discard(docs.sparkSession, prefixes)
+
+    edges = None
+    alone = rows.withColumn("component", F.col("id"))
+    for r in range(STAR_ROUNDS):
+        wide = alone.where(F.col("rows") > STAR_LIMIT)
+        pick = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("x"), F.col("id").alias("a"), F.col("component").alias("own"))).alias("star")
+        stars = wide.groupBy("key").agg(pick, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "star")
+        star = wide.join(stars, "key").where("component <> star.own").select(F.least("star.a", "id").alias("a"), F.greatest("star.a", "id").alias("b")).distinct()
+        new = materialize(verified(star, sets, similarity), "stars")
+        if new.isEmpty():
+            break
+        edges = new if edges is None else edges.union(new)
+        parts = materialize(connected_components(edges, "a", "b"), "parts")
+        alone = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "rows", F.coalesce("component", "id").alias("component"))
+    several = alone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    last = materialize(alone.join(several, "key", "left_semi"), "apart")
+    new = materialize(verified(candidates(last, similarity), sets, similarity), "links")
+    parts = connected_components(new if edges is None else edges.union(new), "a", "b")
+    of = classes.join(parts, classes.rep == parts.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    return found.join(of, ["c1", "c2"]).select("id", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -107,3 +107,16 @@ def test_similar_texts_meet_and_others_do_not(spark):
     odd = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, simhash.one_of_each(odd).collect()), key=str) == sorted([(7, "a b c d e f"), (None, None), (3, "x y z")], key=str)
     assert simhash.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_every_pair_at_the_stated_similarity_links(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    texts, alike = [], []
+    for f in range(120):  # lone pairs: m new words at the end give (196 - m) / (196 + m)
+        base = [word() for _ in range(200)]
+        m = 21 if f % 2 else 22  # 0.806 and 0.798
+        texts += [" ".join(base), " ".join(base[: 200 - m] + [word() for _ in range(m)])]
+        alike.append(f % 2 == 1)
+    got = {x["id"]: x["component"] for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
+    assert [got[2 * f] == got[2 * f + 1] for f in range(120)] == alike
