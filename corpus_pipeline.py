@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import decontaminate, packing, quality, simhash, substrings
 from lodestar.llm.common import discard, materialize, table
 
-#: Passages of this many bytes that a text shares with an earlier place are cut.
-REPEAT_BYTES = 300
+#: Passages of this many words (over 50) that a text shares with an earlier place are cut.
+REPEAT_WORDS = 51
 
 
 def same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return same_columns(substrings.without_repeats(docs, REPEAT_BYTES), docs)
+    return same_columns(substrings.without_repeated_words(docs, REPEAT_WORDS), docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +36,15 @@ _M = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(5)]
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first, last, hash): anchors of all windows of ``size`` bytes, and the window starts each one owns."""
+def anchors(text: np.ndarray, size: int, doublings: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last, hash): anchors of all windows of ``size`` bytes (or word hashes), and the window starts each one owns."""
     h = text.astype(np.uint64)
-    for i in range(5):
+    for i in range(doublings):
         h = h[: -(1 << i)] * _M[i] + h[1 << i :]
     h ^= h >> np.uint64(29)
     h *= _C
     h ^= h >> np.uint64(32)
-    wide = size - GRAM + 1
+    wide = size - (1 << doublings) + 1
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     rows = -(-len(key) // wide)
     block = np.full(rows * wide, np.uint64(2**64 - 1))
@@ -290,16 +290,13 @@ def digests(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text", "spans").mapInArrow(run, f"id {kind}, {DIGEST}")
 
 
-def without_repeats(docs: DataFrame, size: int, keep_first: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated windows cut from the texts, on whole characters; the first copy of each stays if ``keep_first``.
-
-    Rows whose text is cut down to white space go; null and short texts stay as they are. "First" is by the rows'
-    place in the input.
-    """
+def _cut(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], in_bytes: Callable[[bytes, list[tuple[int, int]]], list[tuple[int, int]]], text_col: str) -> DataFrame:
+    """``docs`` without the spans (rid, lo, hi) that ``spans_of`` finds; rows whose text is cut down to white space go."""
     names = docs.columns
     others = [c for c in names if c != text_col]
     packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("others"), F.col(text_col).alias("text"), F.lit(0).alias("zero"))
-    rows = with_spans(keyed(packed, "zero", "text", ["others"]), size, keep_first)
+    rows = keyed(packed, "zero", "text", ["others"])
+    rows = rows.join(spans_of(rows).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -308,7 +305,7 @@ def without_repeats(docs: DataFrame, size: int, keep_first: bool = True, text_co
                 for i, (t, s) in enumerate(zip(batch["text"].to_pylist(), batch["spans"].to_pylist())):
                     if s:
                         data = t.encode()
-                        t = kept(data, on_characters(data, merge([(x["lo"], x["hi"]) for x in s]))).decode()
+                        t = kept(data, in_bytes(data, merge([(x["lo"], x["hi"]) for x in s]))).decode()
                         if not t.strip():
                             new.append(t)
                             continue
@@ -320,6 +317,118 @@ def without_repeats(docs: DataFrame, size: int, keep_first: bool = True, text_co
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"others.{c}").alias(c) for c in names])
 
 
+def without_repeats(docs: DataFrame, size: int, keep_first: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated windows cut from the texts, on whole characters; the first copy of each stays if ``keep_first``.
+
+    Rows whose text is cut down to white space go; null and short texts stay as they are. "First" is by the rows'
+    place in the input.
+    """
+    return _cut(docs, lambda rows: repeated_spans(rows, size, keep_first), on_characters, text_col)
+
+
+# Passages measured in words.
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word: what lies between ASCII white space."""
+    x = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~((x == 32) | ((x >= 9) & (x <= 13))), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in text.split()], np.uint64)
+
+
+def _word_anchor_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                out: list[list] = [[] for _ in ANCHOR.names]
+                classes = []
+                for rid, t in zip(batch["rid"].to_pylist(), utf8(batch["text"])):
+                    every = word_hashes(t)
+                    for b in range(0, len(every) - words + 1, BLOCK):
+                        x = every[b : b + BLOCK + words - 1]
+                        a, s0, s1, h = anchors(x, words, 3)
+                        classes += [xxhash.xxh3_128_digest(x[i : j + words].tobytes(), k) for i, j, k in zip(s0.tolist(), s1.tolist(), (a - s0).tolist())]
+                        for column, v in zip(out, (np.full(len(a), rid), h, None, None, a + b, s0 + b, s1 + b)):
+                            if v is not None:
+                                column.append(v)
+                both = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
+                out[2], out[3] = [both[:, 0]], [both[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in out], schema=ANCHOR)
+
+    return run
+
+
+def _word_windows(words: int, most: int = 1 << 17):
+    """Each window that a marked anchor owns: its hash, its copies, and where it is."""
+    names = ("w1", "w2", "n", "rid", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text", 1 << 20):
+                digests, n, rid, s = [], [], [], []
+
+                def emit() -> pa.RecordBatch:
+                    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.array(v, pa.int64()) for v in (n, rid, s)]], names)
+
+                for r, t, marks in zip(batch["rid"].to_pylist(), utf8(batch["text"]), batch["marks"].to_pylist()):
+                    every = word_hashes(t)
+                    for m in marks:
+                        own = range(m["s0"], m["s1"] + 1)
+                        digests += [xxhash.xxh3_128_digest(every[i : i + words].tobytes()) for i in own]
+                        n += [m["n"]] * len(own)
+                        rid += [r] * len(own)
+                        s += own
+                        if len(s) >= most:
+                            yield emit()
+                            digests, n, rid, s = [], [], [], []
+                yield emit()
+
+    return run
+
+
+def repeated_word_spans(docs: DataFrame, words: int) -> DataFrame:
+    """(rid, lo, hi): word numbers of the runs of ``words`` words of (rid, text) that an earlier place has too.
+
+    Equal runs have equal anchors (eight-word strings of the smallest hash), so only runs around anchors that repeat
+    are counted, one by one; anchors whose whole extent is the same are counted as one class.
+    """
+    found = materialize(docs.select("rid", "text").mapInArrow(_word_anchor_rows(words), "rid long, h long, c1 long, c2 long, a long, s0 long, s1 long"), "anchors")
+    several = materialize(found.groupBy("h").count().where("count > 1").select("h"), "several")
+    shared = materialize(found.join(several, "h", "left_semi"), "shared")
+    rep = F.min(F.struct("rid", "a", "s0", "s1")).alias("rep")
+    classes = materialize(shared.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), rep).select("h", "c1", "c2", "n", "rep.*"), "classes")
+    per_hash = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "hashes")
+
+    copies = classes.where("n > 1").select("h", "c1", "c2", F.col("rid").alias("r0"), F.col("a").alias("a0"))
+    whole = shared.join(copies, ["h", "c1", "c2"]).where("rid <> r0 or a <> a0").select("rid", F.col("s0").alias("lo"), (F.col("s1") + words).alias("hi"))
+    marks = classes.join(per_hash, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("n", "s0", "s1")).alias("marks"))
+    every = docs.select("rid", "text").join(marks, "rid").mapInArrow(_word_windows(words), "w1 long, w2 long, n long, rid long, s long")
+    every = materialize(every, "windows")
+    same = every.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "s")).alias("first")).where("total > 1")
+    hits = every.join(materialize(same, "same"), ["w1", "w2"]).where("rid <> first.rid or s <> first.s")
+    return whole.union(hits.select("rid", F.col("s").alias("lo"), (F.col("s") + words).alias("hi")))
+
+
+def without_repeated_words(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """``docs`` without the runs of ``words`` words that an earlier place has too, whatever white space is between them.
+
+    Rows whose text is cut down to white space go; null and short texts stay as they are.
+    """
+
+    def in_bytes(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        start, end = word_bounds(data)
+        return [(int(start[lo]), int(end[hi - 1])) for lo, hi in spans]
+
+    return _cut(docs, lambda rows: repeated_word_spans(rows, words), in_bytes, text_col)
+
+
 def op4_substrings(spark, sf_dir: str) -> DataFrame:
     """Null and empty texts have no bytes; texts under 400 bytes lose none; repeated rows count as different texts."""
     docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -114,3 +114,37 @@ def test_texts_are_cut_on_characters(spark):
     got = [tuple(r) for r in sub.without_repeats(docs, 300).collect()]
     assert len(got) >= 4 and all(r in rows or "é" in r[1] or r[1] == "x" for r in got) and (3, None, "c") in got and got.count((4, "kept", "d")) == 2
     assert sub.without_repeats(docs.limit(0), 300).count() == 0
+
+
+def test_passages_of_51_short_words_are_cut_and_of_50_are_not(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choices("abcdefghijkl", k=r.randint(4, 8))) for _ in range(n))
+    short = lambda n: " ".join("".join(r.choices("abcdefghijkl", k=r.randint(1, 5))) for _ in range(n))
+    long, less = short(51), short(50)
+    assert len(long) < 300
+    texts = [f"{say(30)} {p} {say(30)}" for p in (long, long, less, less)] + [f"{say(9)}\n{long.replace(' ', '  ')}\t{say(9)}", long, None, "", say(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want = dict(enumerate(texts))
+    want[1] = want[1].replace(long, "")
+    want[4] = want[4].replace(long.replace(" ", "  "), "")
+    del want[5]
+    assert got == want
+
+
+def test_repeated_words_match_brute_force(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(40)]
+    parts = [r.choices(vocab, k=r.randint(20, 90)) for _ in range(12)]
+    texts = [[w for p in r.choices(parts, k=4) for w in p] + r.choices(vocab, k=30) for _ in range(40)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rid long, text string")
+    got = {(x["rid"], k) for x in sub.repeated_word_spans(rows, 51).collect() for k in range(x["lo"], x["hi"])}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 50):
+            if (w := tuple(t[s : s + 51])) in seen:
+                want |= {(i, k) for k in range(s, s + 51)}
+            seen.add(w)
+    assert got == want
