@@ -120,3 +120,23 @@ def test_every_pair_at_the_stated_similarity_links(spark):
         alike.append(f % 2 == 1)
     got = {x["id"]: x["component"] for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
     assert [got[2 * f] == got[2 * f + 1] for f in range(120)] == alike
+
+
+def test_hot_keys_are_dealt_without_losing_pairs(spark):
+    r = random.Random(6)
+    prefix = {i: set(r.sample(range(12), 4)) for i in range(60)}  # 4 of 16 elements: similarity 0.8 has 1 + 16 - 13
+    often = {k: sum(k in p for p in prefix.values()) for k in range(12)}
+    rows = spark.createDataFrame([(k, i, 16, often[k], i % 50) for i, p in prefix.items() for k in p], "key long, id long, n int, rows long, component long")
+    want = {(i, j) for j in prefix for i in range(j) if len(prefix[i] & prefix[j]) + 12 >= 16 * 2 * 0.8 / 1.8 and i % 50 != j % 50}
+    for limit in (4, 7, 1000):
+        assert {tuple(x) for x in simhash.candidates(rows, 0.8, limit).collect()} == want
+
+
+def test_a_template_is_linked_by_representatives(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:110] + [f"name{i}"] + base[110:]) for i in range(150)]
+    asked = []
+    own = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda rows, *a: (asked.append(rows.count()), own(rows, *a))[1])
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()
+    assert len(got) == 150 and {x["component"] for x in got} == {0} and asked == [0]
