@@ -29,11 +29,14 @@ class Plan:
     rows_read: dict[str, float]  # estimates of both
 
 
-def choose(index: Cells, rows: int, k: int, kinds: Sequence[str], probes: int = PROBES, strategy: str = "auto") -> Plan:
-    """Pre-filter reads all rows once; post-filter reads the probed cells but may find fewer than k."""
+def choose(index: Cells, rows: int, k: int, kinds: Sequence[str], probes: int = PROBES, strategy: str = "auto", keep: float | None = None) -> Plan:
+    """Pre-filter reads all rows once; post-filter reads the probed cells but may find fewer than k.
+
+    keep: the share of rows that pass, where it is known; the fixed values of ``kinds`` otherwise.
+    """
     if strategy not in ("auto", "pre", "post"):
         raise ValueError("the strategy is auto, pre or post")
-    keep = selectivity(kinds, rows)
+    keep = selectivity(kinds, rows) if keep is None else keep
     scanned = rows * min(1.0, probes / max(len(index.centres), 1))
     cost = {"pre": float(rows), "post": scanned}
     if strategy != "auto":
@@ -48,12 +51,22 @@ def choose(index: Cells, rows: int, k: int, kinds: Sequence[str], probes: int =
 def hybrid_nearest(df: DataFrame, index: Cells, query: Sequence[float], k: int, id_col: str, where: Column | None = None, kinds: Sequence[str] = (), probes: int = PROBES, strategy: str = "auto", rows: int | None = None) -> tuple[DataFrame, Plan]:
     """The k nearest rows under a condition, and the plan that was chosen.
 
-    The post-filter answer is approximate: it may hold fewer than k rows although more exist (see ``warning``).
+    "auto" counts the rows that pass and ranks them all exactly if the post-filter would find, or finds, fewer than k.
+    The post-filter answer is approximate: asked for, it may hold fewer than k rows although more exist (see ``warning``).
     """
-    plan = choose(index, df.count() if rows is None else rows, k, kinds, probes, strategy)
-    if plan.strategy == "pre":
-        return nearest_vectors(df, index.vector_col, query, k, id_col, index.metric, where), plan
-    return index.search(query, k, id_col, probes, where), plan
+    keep = None
+    if strategy == "auto" and where is not None:
+        rows, passing = df.agg(F.count(F.lit(1)), F.count_if(where)).first()
+        keep = passing / max(rows, 1)
+        kinds = kinds or ["range"]
+    plan = choose(index, df.count() if rows is None else rows, k, kinds, probes, strategy, keep)
+    if plan.strategy == "post":
+        out = index.search(query, k, id_col, probes, where)
+        found = out.count() if strategy == "auto" and k is not None else k
+        if found == k or (where is None and probes >= len(index.centres)):
+            return out, plan
+        plan = Plan("pre", f"only {found} of the probed rows pass, fewer than {k}", plan.rows_read)
+    return nearest_vectors(df, index.vector_col, query, k, id_col, index.metric, where), plan
 
 
 def warning(found: int, k: int, plan: Plan) -> str | None:

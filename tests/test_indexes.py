@@ -97,3 +97,17 @@ def test_recommendations(spark, vectors, tmp_path):
     assert recommend(vectors, "exact", 1000, like=1).count() == 60
     with pytest.raises(ValueError):
         recommend(vectors, "magic", 5, like=1)
+
+
+def test_hybrid_auto_finds_k_when_k_pass(spark, vectors, tmp_path):
+    cells = Cells.build(vectors, f"file://{tmp_path}/c", "embedding", "id", 10)
+    query = [float(x) for x in vectors.where("id = 3").first()["embedding"]]
+    far = [r["id"] for r in cells.search(query, None, "id").collect()][-12:]  # the farthest rows: none in the nearest cell
+    for where, count in ((F.col("id").isin(far), 10), (F.col("id") >= 0, 10)):
+        rows, plan = hybrid.hybrid_nearest(vectors, cells, query, 10, "id", where, ["range"], probes=1)
+        found = ids(rows)
+        assert len(found) == count
+        if plan.strategy == "pre":
+            assert found == ids(nearest_vectors(vectors, "embedding", query, 10, "id", where=where))
+    rows, plan = hybrid.hybrid_nearest(vectors, cells, query, 10, "id", F.col("id").isin(far), ["range"], probes=1, rows=100_000)
+    assert plan.strategy == "pre" and len(ids(rows)) == 10
