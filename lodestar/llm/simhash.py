@@ -12,7 +12,6 @@ spanning forest of its links, so a block of n near copies gives at most n-1 rows
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, map_batches, materialize, new_path, sliced, table, utf8
+from lodestar.llm.common import bucketed, discard, map_batches, materialize, sliced, table, utf8
 from lodestar.llm.components import connected_components
 
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 1), dtype=np.uint64)
@@ -305,15 +304,6 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
     return run
 
 
-def _by_id(sets: DataFrame) -> DataFrame:
-    """The rows in a table bucketed by id: joins on it do not move the sets again."""
-    spark = sets.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lodestar_sets_{uuid.uuid4().hex}"
-    sets.repartition(n, "id").write.bucketBy(n, "id").option("compression", "zstd").option("path", new_path(spark, "sets")).saveAsTable(name)
-    return spark.table(name)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the similarity."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
@@ -353,7 +343,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = materialize(map_batches(source, _set_rows(width), SETS), "sets")
     classes = materialize(found.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
-    sets = _by_id(found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "shingles"))
+    sets = bucketed(found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "shingles"), "id", "sets")
     some = found.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s"))
     often = some.groupBy("s").count().where(F.col("count") >= LEAST_OFTEN).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
     s, count = often["s"].to_numpy(), often["count"].to_numpy()

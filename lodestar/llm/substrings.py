@@ -15,7 +15,6 @@ by one, keyed by their own hash, in a plain distributed aggregation.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestar.llm.common import materialize, new_path, sliced, table, utf8
+from lodestar.llm.common import bucketed, discard, materialize, sliced, table, utf8
 from lodestar.llm.suffixsort import deep_shallow
 
 GRAM = 32
 SIZE = 400
 GROUP_LIMIT = 32_768
+#: Words of a run that counts as a repeated passage.
+RUN_WORDS = 51
 BLOCK = 1 << 20
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(5)]
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -59,26 +60,70 @@ def anchors(text: np.ndarray, size: int, doublings: int = 5) -> tuple[np.ndarray
     return place, first, np.append(first[1:], n) - 1, h[place].view(np.int64)
 
 
-ANCHOR = pa.schema([(n, pa.int64()) for n in ("rid", "h", "c1", "c2", "a", "s0", "s1")])
+SEGMENT = "rid long, g1 long, g2 long, s0 long, s1 long, anchors array<struct<h:long,c1:long,c2:long,a:long,s0:long,s1:long>>"
+_ANCHOR = ("h", "c1", "c2", "a", "s0", "s1")
+#: Anchors of a text lie in segments that end where a hash of an anchor's extent says so, or after this many.
+LONGEST = 64
 
 
-def _anchor_rows(size: int):
+def word_hashes(text: bytes) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in text.split()], np.uint64)
+
+
+def units(text: bytes, words: bool) -> np.ndarray:
+    """What windows are counted in: the bytes of a text, or a 64-bit hash of each of its words."""
+    return word_hashes(text) if words else np.frombuffer(text, np.uint8)
+
+
+def text_anchors(x: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(h, c1, c2, a, s0, s1) of the anchors of all windows; c1 and c2 are a hash of all that the anchor's windows cover."""
+    parts = []
+    for b in range(0, len(x) - size + 1, BLOCK):
+        part = x[b : b + BLOCK + size - 1]
+        a, s0, s1, h = anchors(part, size, 5 if x.itemsize == 1 else 3)
+        raw, w = part.tobytes(), x.itemsize
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i * w : (j + size) * w], k) for i, j, k in zip(s0.tolist(), s1.tolist(), (a - s0).tolist())]), np.int64).reshape(-1, 2)
+        parts.append((h, both[:, 0], both[:, 1], a + b, s0 + b, s1 + b))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 6
+
+
+def segment_starts(c1: np.ndarray) -> np.ndarray:
+    """Where segments begin: after every anchor whose extent's hash is a multiple of four, and at every LONGEST-th of a longer run."""
+    cut = np.concatenate([[0], np.flatnonzero(c1[:-1] & 3 == 0) + 1, [len(c1)]])
+    long = np.flatnonzero(np.diff(cut) > LONGEST)
+    more = [np.arange(cut[i], cut[i + 1], LONGEST) for i in long.tolist()]
+    return np.unique(np.concatenate([cut[:-1], *more]))
+
+
+def _segments(size: int, words: bool):
+    """Windows that a text's anchors own follow each other without a gap, so a segment owns all windows from s0 to s1."""
+    schema = pa.schema([("rid", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("anchors", pa.list_(pa.struct([(n, pa.int64()) for n in _ANCHOR])))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "text"):
-                out: list[list] = [[] for _ in ANCHOR.names]
-                classes = []
-                for rid, t in zip(batch["rid"].to_pylist(), utf8(batch["text"])):
-                    for b in range(0, len(t) - size + 1, BLOCK):
-                        x = t[b : b + BLOCK + size - 1]
-                        a, s0, s1, h = anchors(np.frombuffer(x, np.uint8), size)
-                        classes += [xxhash.xxh3_128_digest(x[i : j + size], k) for i, j, k in zip(s0.tolist(), s1.tolist(), (a - s0).tolist())]
-                        for column, v in zip(out, (np.full(len(a), rid), h, None, None, a + b, s0 + b, s1 + b)):
-                            if v is not None:
-                                column.append(v)
-                both = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
-                out[2], out[3] = [both[:, 0]], [both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in out], schema=ANCHOR)
+                found, rid, lengths, digests = [], [], [], []
+                for r, t in zip(batch["rid"].to_pylist(), utf8(batch["text"])):
+                    x = units(t, words)
+                    if len(x) < size:
+                        continue
+                    own = text_anchors(x, size)
+                    start = segment_starts(own[1])
+                    end = np.append(start[1:], len(own[1]))
+                    raw = np.column_stack(own[1:3]).tobytes()
+                    digests += [xxhash.xxh3_128_digest(raw[16 * i : 16 * j]) for i, j in zip(start.tolist(), end.tolist())]
+                    found.append(own)
+                    lengths.append(end - start)
+                    rid.append(np.full(len(start), r))
+                if not rid:
+                    continue
+                column = [np.concatenate(c) for c in zip(*found)]
+                n = np.concatenate(lengths)
+                end = np.cumsum(n)
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, end).astype(np.int32)), pa.StructArray.from_arrays([pa.array(c) for c in column], list(_ANCHOR)))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (np.concatenate(rid), both[:, 0], both[:, 1], column[4][end - n], column[5][end - 1])], lists], schema=schema)
 
     return run
 
@@ -86,7 +131,7 @@ def _anchor_rows(size: int):
 CONTEXT = "h long, n long, k long, rid long, a long, s0 long, width long, bytes binary"
 
 
-def _contexts(size: int):
+def _contexts(size: int, words: bool):
     names = [f.split()[0] for f in CONTEXT.split(", ")]
     schema = pa.schema([(n, pa.binary() if n == "bytes" else pa.int64()) for n in names])
 
@@ -95,25 +140,27 @@ def _contexts(size: int):
             for batch in sliced(whole, "text", 1 << 20):
                 rows = []
                 for rid, t, marks in zip(batch["rid"].to_pylist(), utf8(batch["text"]), batch["marks"].to_pylist()):
-                    rows += [(m["h"], m["n"], m["k"], rid, m["a"], m["s0"], m["s1"] - m["s0"] + 1, t[m["s0"] : m["s1"] + size]) for m in marks]
+                    x = units(t, words)
+                    rows += [(m["h"], m["n"], m["k"], rid, m["a"], m["s0"], m["s1"] - m["s0"] + 1, x[m["s0"] : m["s1"] + size].tobytes()) for m in marks]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * len(names), schema.types)], schema=schema)
 
     return run
 
 
-def repeated(group: np.ndarray, place: np.ndarray, width: np.ndarray, n: np.ndarray, data: list[bytes], size: int, keep_first: bool, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(group: np.ndarray, place: np.ndarray, width: np.ndarray, data: list[bytes], size: int, keep_first: bool, rank: np.ndarray, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset) of the windows (by start in ``data``) that occur elsewhere, or earlier by ``rank`` if the first is kept.
 
-    A row stands for ``n`` copies; its anchor is at ``place`` in its bytes.
+    Places and widths are counted in units of ``unit`` bytes.
     """
     sides = []
-    for strings in ([d[p:] for d, p in zip(data, place.tolist())], [d[:p][::-1] for d, p in zip(data, place.tolist())]):
+    for strings in ([d[p * unit :] for d, p in zip(data, place.tolist())], [d[: p * unit][::-1] for d, p in zip(data, place.tolist())]):
         order, lcp = deep_shallow(strings, group)
+        lcp = np.where(lcp < 0, -1, lcp // unit)
         most = np.zeros(len(data), np.int64)
         most[order] = np.maximum(lcp, np.append(lcp[1:], -1))
         sides.append((order, lcp, most))
     (r_order, r_lcp, r_most), (l_order, l_lcp, l_most) = sides
-    most, least = place, place - width + 1  # bytes of the left part
+    most, least = place, place - width + 1  # units of the left part
     rows, offsets = [], []
     ids_l, ids_r = np.empty(len(data), np.int64), np.empty(len(data), np.int64)
     for left in range(int(max(0, least.min(initial=0))), int(most.max(initial=-1)) + 1):
@@ -134,7 +181,7 @@ def repeated(group: np.ndarray, place: np.ndarray, width: np.ndarray, n: np.ndar
     return (np.concatenate(rows), np.concatenate(offsets)) if rows else (none, none)
 
 
-def _solve(size: int, keep_first: bool, chunk: int = 40_000):
+def _solve(size: int, keep_first: bool, unit: int, chunk: int = 40_000):
     schema = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def emit(t: pa.Table) -> pa.RecordBatch:
@@ -142,7 +189,7 @@ def _solve(size: int, keep_first: bool, chunk: int = 40_000):
         group = np.unique(col["h"], return_inverse=True)[1]
         rank = np.empty(t.num_rows, np.int64)
         rank[np.lexsort((col["a"], col["rid"]))] = np.arange(t.num_rows)
-        row, offset = repeated(group, col["a"] - col["s0"], col["width"], col["n"], t["bytes"].to_pylist(), size, keep_first, rank)
+        row, offset = repeated(group, col["a"] - col["s0"], col["width"], t["bytes"].to_pylist(), size, keep_first, rank, unit)
         if not keep_first:
             own = col["n"][row] == 1  # classes of several copies are removed whole
             row, offset = row[own], offset[own]
@@ -175,7 +222,7 @@ def _solve(size: int, keep_first: bool, chunk: int = 40_000):
     return run
 
 
-def _windows(size: int):
+def _windows(size: int, unit: int):
     """Each window of a context: its hash, and where it is."""
     schema = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "n", "rid", "s")])
 
@@ -184,7 +231,7 @@ def _windows(size: int):
             for batch in sliced(whole, "bytes", 1 << 18):
                 digests, n, rid, s = [], [], [], []
                 for r in batch.select(["n", "rid", "s0", "width", "bytes"]).to_pylist():
-                    digests += [xxhash.xxh3_128_digest(r["bytes"][i : i + size]) for i in range(r["width"])]
+                    digests += [xxhash.xxh3_128_digest(r["bytes"][i * unit : (i + size) * unit]) for i in range(r["width"])]
                     n += [r["n"]] * r["width"]
                     rid += [r["rid"]] * r["width"]
                     s += range(r["s0"], r["s0"] + r["width"])
@@ -196,41 +243,57 @@ def _windows(size: int):
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, other: list[str] = ()) -> DataFrame:
     """The rows with a unique rid, in a table bucketed by it: joins on rid do not move the texts again."""
+    return bucketed(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *other), "rid", "texts")
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, keep_first: bool = False, limit: int = GROUP_LIMIT, words: bool = False) -> DataFrame:
+    """(rid, spans): arrays of (lo, hi) of the rows of ``docs`` (rid, text) that are covered by repeated windows; they may overlap.
+
+    Sizes and spans are counted in bytes, or with ``words`` in words, whatever white space is between them. Equal
+    segments of anchors are counted first, and all but the first of each are covered whole; what is compared
+    anchor by anchor are different segments.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *other)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lodestar_texts_{uuid.uuid4().hex}"
-    rows.repartition(n, "rid").write.bucketBy(n, "rid").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
-
-
-def repeated_spans(docs: DataFrame, size: int = SIZE, keep_first: bool = False, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(rid, lo, hi): byte spans of the rows of ``docs`` (rid, text) that are covered by repeated windows; spans may overlap."""
-    found = materialize(docs.select("rid", "text").mapInArrow(_anchor_rows(size), "rid long, h long, c1 long, c2 long, a long, s0 long, s1 long"), "anchors")
-    several = materialize(found.groupBy("h").count().where("count > 1").select("h"), "several")
-    shared = materialize(found.join(several, "h", "left_semi"), "shared")
+    found = materialize(docs.select("rid", "text").mapInArrow(_segments(size, words), SEGMENT), "segments")
+    place = F.struct("rid", "s0")
+    kinds = materialize(found.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.min_by("anchors", place).alias("anchors")), "kinds")
+    same = kinds.where("n > 1").select("g1", "g2", F.col("p.rid").alias("r0"), F.col("p.s0").alias("a0"))
+    copies = found.drop("anchors").join(same, ["g1", "g2"])
+    if keep_first:
+        copies = copies.where("rid <> r0 or s0 <> a0")
+    span = lambda df: df.select("rid", F.col("s0").alias("lo"), (F.col("s1") + size).alias("hi"))
+    spans = span(copies)
+
+    each = kinds.select("n", F.col("p.rid").alias("rid"), F.explode("anchors").alias("x")).select("n", "rid", "x.*")
+    several = materialize(each.groupBy("h").count().where("count > 1").select("h"), "several")
+    shared = materialize(each.join(several, "h", "left_semi"), "shared")
     rep = F.min(F.struct("rid", "a", "s0", "s1")).alias("rep")
-    classes = materialize(shared.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), rep).select("h", "c1", "c2", "n", "rep.*"), "classes")
+    classes = materialize(shared.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), rep).select("h", "c1", "c2", "n", "places", "rep.*"), "classes")
     per_hash = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "hashes")
-
-    copies = classes.where("n > 1").select("h", "c1", "c2", F.col("rid").alias("r0"), F.col("a").alias("a0"))
-    whole = shared.join(copies, ["h", "c1", "c2"])
+    again = classes.where("places > 1").select("h", "c1", "c2", F.col("rid").alias("r0"), F.col("a").alias("a0"))
+    whole = shared.join(again, ["h", "c1", "c2"])
     if keep_first:
         whole = whole.where("rid <> r0 or a <> a0")
-    spans = whole.select("rid", F.col("s0").alias("lo"), (F.col("s1") + size).alias("hi"))
+    spans = spans.union(span(whole))
 
     marks = classes.join(per_hash, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "n", "k", "a", "s0", "s1")).alias("marks"))
-    contexts = docs.select("rid", "text").join(marks, "rid").mapInArrow(_contexts(size), CONTEXT)
+    unit = 8 if words else 1
+    contexts = docs.select("rid", "text").join(marks, "rid").mapInArrow(_contexts(size, words), CONTEXT)
+    made = [found, kinds, several, shared, classes, per_hash]
     if not per_hash.where(F.col("k") > limit).isEmpty():
         contexts = materialize(contexts, "contexts")
-        every = materialize(contexts.where(F.col("k") > limit).mapInArrow(_windows(size), "w1 long, w2 long, n long, rid long, s long"), "windows")
-        same = every.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "s")).alias("first")).where("total > 1")
-        hits = every.join(same, ["w1", "w2"])
+        every = materialize(contexts.where(F.col("k") > limit).mapInArrow(_windows(size, unit), "w1 long, w2 long, n long, rid long, s long"), "windows")
+        made += [contexts, every]
+        twice = every.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "s")).alias("first")).where("total > 1")
+        hits = every.join(twice, ["w1", "w2"])
         hits = hits.where("rid <> first.rid or s <> first.s") if keep_first else hits
         spans = spans.union(hits.select("rid", F.col("s").alias("lo"), (F.col("s") + size).alias("hi")))
         contexts = contexts.where(F.col("k") <= limit)
     dealt = contexts.repartition("h").sortWithinPartitions("h")
-    return spans.union(dealt.mapInArrow(_solve(size, keep_first), "rid long, lo long, hi long"))
+    spans = spans.union(dealt.mapInArrow(_solve(size, keep_first, unit), "rid long, lo long, hi long"))
+    out = materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(spark, *made)
+    return out
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,30 +327,30 @@ def on_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long"
 
 
 def with_spans(docs: DataFrame, size: int = SIZE, keep_first: bool = False, limit: int = GROUP_LIMIT) -> DataFrame:
     """The rows of a keyed table with ``spans``: arrays of (lo, hi), null where nothing repeats."""
-    found = repeated_spans(docs, size, keep_first, limit).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(found, "rid", "left")
+    return docs.join(repeated_spans(docs, size, keep_first, limit), "rid", "left")
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of the rows of with_spans."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words) of the rows of with_spans; without ``word_spans`` the last is 0."""
+    rows = rows if "word_spans" in rows.columns else rows.withColumn("word_spans", F.lit(None).cast(rows.schema["spans"].dataType))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "text"):
                 out = []
-                for t, s in zip(utf8(batch["text"]), batch["spans"].to_pylist()):
-                    cut = merge([(x["lo"], x["hi"]) for x in s or []])
-                    out.append((len(t), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept(t, cut)).hexdigest()))
-                cols = list(zip(*out)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                for t, *found in zip(utf8(batch["text"]), batch["spans"].to_pylist(), batch["word_spans"].to_pylist()):
+                    cut, again = (merge([(x["lo"], x["hi"]) for x in s or []]) for s in found)
+                    out.append((len(t), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept(t, cut)).hexdigest(), sum(b - a for a, b in again)))
+                cols = [pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(list(zip(*out)) or [[]] * 5)]
+                yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", *[f.split()[0] for f in DIGEST.split(", ")]])
 
-    return rows.select("id", "text", "spans").mapInArrow(run, f"id {kind}, {DIGEST}")
+    return rows.select("id", "text", "spans", "word_spans").mapInArrow(run, f"id {kind}, {DIGEST}")
 
 
 def _cut(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], in_bytes: Callable[[bytes, list[tuple[int, int]]], list[tuple[int, int]]], text_col: str) -> DataFrame:
@@ -296,7 +359,7 @@ def _cut(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], in_bytes:
     others = [c for c in names if c != text_col]
     packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("others"), F.col(text_col).alias("text"), F.lit(0).alias("zero"))
     rows = keyed(packed, "zero", "text", ["others"])
-    rows = rows.join(spans_of(rows).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "rid", "left")
+    rows = rows.join(spans_of(rows), "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -337,85 +400,6 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in text.split()], np.uint64)
-
-
-def _word_anchor_rows(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced(whole, "text"):
-                out: list[list] = [[] for _ in ANCHOR.names]
-                classes = []
-                for rid, t in zip(batch["rid"].to_pylist(), utf8(batch["text"])):
-                    every = word_hashes(t)
-                    for b in range(0, len(every) - words + 1, BLOCK):
-                        x = every[b : b + BLOCK + words - 1]
-                        a, s0, s1, h = anchors(x, words, 3)
-                        classes += [xxhash.xxh3_128_digest(x[i : j + words].tobytes(), k) for i, j, k in zip(s0.tolist(), s1.tolist(), (a - s0).tolist())]
-                        for column, v in zip(out, (np.full(len(a), rid), h, None, None, a + b, s0 + b, s1 + b)):
-                            if v is not None:
-                                column.append(v)
-                both = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
-                out[2], out[3] = [both[:, 0]], [both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in out], schema=ANCHOR)
-
-    return run
-
-
-def _word_windows(words: int, most: int = 1 << 17):
-    """Each window that a marked anchor owns: its hash, its copies, and where it is."""
-    names = ("w1", "w2", "n", "rid", "s")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced(whole, "text", 1 << 20):
-                digests, n, rid, s = [], [], [], []
-
-                def emit() -> pa.RecordBatch:
-                    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.array(v, pa.int64()) for v in (n, rid, s)]], names)
-
-                for r, t, marks in zip(batch["rid"].to_pylist(), utf8(batch["text"]), batch["marks"].to_pylist()):
-                    every = word_hashes(t)
-                    for m in marks:
-                        own = range(m["s0"], m["s1"] + 1)
-                        digests += [xxhash.xxh3_128_digest(every[i : i + words].tobytes()) for i in own]
-                        n += [m["n"]] * len(own)
-                        rid += [r] * len(own)
-                        s += own
-                        if len(s) >= most:
-                            yield emit()
-                            digests, n, rid, s = [], [], [], []
-                yield emit()
-
-    return run
-
-
-def repeated_word_spans(docs: DataFrame, words: int) -> DataFrame:
-    """(rid, lo, hi): word numbers of the runs of ``words`` words of (rid, text) that an earlier place has too.
-
-    Equal runs have equal anchors (eight-word strings of the smallest hash), so only runs around anchors that repeat
-    are counted, one by one; anchors whose whole extent is the same are counted as one class.
-    """
-    found = materialize(docs.select("rid", "text").mapInArrow(_word_anchor_rows(words), "rid long, h long, c1 long, c2 long, a long, s0 long, s1 long"), "anchors")
-    several = materialize(found.groupBy("h").count().where("count > 1").select("h"), "several")
-    shared = materialize(found.join(several, "h", "left_semi"), "shared")
-    rep = F.min(F.struct("rid", "a", "s0", "s1")).alias("rep")
-    classes = materialize(shared.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), rep).select("h", "c1", "c2", "n", "rep.*"), "classes")
-    per_hash = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "hashes")
-
-    copies = classes.where("n > 1").select("h", "c1", "c2", F.col("rid").alias("r0"), F.col("a").alias("a0"))
-    whole = shared.join(copies, ["h", "c1", "c2"]).where("rid <> r0 or a <> a0").select("rid", F.col("s0").alias("lo"), (F.col("s1") + words).alias("hi"))
-    marks = classes.join(per_hash, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("n", "s0", "s1")).alias("marks"))
-    every = docs.select("rid", "text").join(marks, "rid").mapInArrow(_word_windows(words), "w1 long, w2 long, n long, rid long, s long")
-    every = materialize(every, "windows")
-    same = every.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "s")).alias("first")).where("total > 1")
-    hits = every.join(materialize(same, "same"), ["w1", "w2"]).where("rid <> first.rid or s <> first.s")
-    return whole.union(hits.select("rid", F.col("s").alias("lo"), (F.col("s") + words).alias("hi")))
-
-
 def without_repeated_words(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
     """``docs`` without the runs of ``words`` words that an earlier place has too, whatever white space is between them.
 
@@ -426,25 +410,37 @@ def without_repeated_words(docs: DataFrame, words: int, text_col: str = "text")
         start, end = word_bounds(data)
         return [(int(start[lo]), int(end[hi - 1])) for lo, hi in spans]
 
-    return _cut(docs, lambda rows: repeated_word_spans(rows, words), in_bytes, text_col)
+    return _cut(docs, lambda rows: repeated_spans(rows, words, keep_first=True, words=True), in_bytes, text_col)
 
 
 def op4_substrings(spark, sf_dir: str) -> DataFrame:
-    """Null and empty texts have no bytes; texts under 400 bytes lose none; repeated rows count as different texts."""
+    """Null and empty texts have no bytes; texts under 400 bytes lose none; repeated rows count as different texts.
+
+    n_repeated_words: words inside runs of ``RUN_WORDS`` words (between ASCII white space) that also start anywhere else,
+    so passages of over 50 words show even where they are shorter than 400 bytes.
+    """
     docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return digests(with_spans(docs)).withColumnRenamed("id", "doc_id")
+    found = [repeated_spans(docs), repeated_spans(docs, RUN_WORDS, words=True).withColumnRenamed("spans", "word_spans")]
+    out = materialize(digests(docs.join(found[0], "rid", "left").join(found[1], "rid", "left")).withColumnRenamed("id", "doc_id"), "digests")
+    discard(spark, docs, *found)
+    return out
 
 
-OP4_SQL = """
-with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+OP4_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, hex(encode(coalesce(text, ''))) as h from documents),
 w as (select r, s, md5(substr(h, 2 * s + 1, 800)) as k from (select r, h, unnest(generate_series(0, length(h) // 2 - 400)) as s from d where length(h) >= 800)),
 again as (select k from w group by k having count(*) > 1),
 hit as (select r, s, lag(s) over (partition by r order by s) as p from w semi join again using (k)),
 run as (select r, s, sum(case when p is null or s > p + 400 then 1 else 0 end) over (partition by r order by s) as g from hit),
 span as (select r, min(s) as lo, max(s) + 400 as hi from run group by r, g),
 seg as (select r, lo, hi, lag(hi, 1, 0) over (partition by r order by lo) as before from span),
-cut as (select r, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as k, max(hi) as e, sum(hi - lo) as removed, count(*) as n from seg join d using (r) group by r)
+cut as (select r, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as k, max(hi) as e, sum(hi - lo) as removed, count(*) as n from seg join d using (r) group by r),
+word as (select r, list_filter(string_split_regex(t, '[\x09-\x0D ]+'), lambda x: x <> '') as x from d),
+word_run as (select r, s, md5(array_to_string(x[s : s + 50], ' ')) as k from (select r, x, unnest(generate_series(1, len(x) - 50)) as s from word where len(x) >= 51)),
+word_again as (select k from word_run group by k having count(*) > 1),
+word_hit as (select r, s, lag(s) over (partition by r order by s) as p from word_run semi join word_again using (k)),
+word_cut as (select r, sum(least(51, s - coalesce(p, s - 51))) as n_repeated_words from word_hit group by r)
 select doc_id, length(h) // 2 as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0) as n_spans,
-  sha256(unhex(case when e is null then h else k || substr(h, 2 * e + 1) end)) as kept_sha256
-from d left join cut using (r)
+  sha256(unhex(case when e is null then h else k || substr(h, 2 * e + 1) end)) as kept_sha256, coalesce(n_repeated_words, 0)::bigint as n_repeated_words
+from d left join cut using (r) left join word_cut using (r)
 """
