@@ -13,7 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark sends rows to Python in batches of up to 10,000 rows and 64 MB; texts need less of it at once.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session, unless it has a bound below Spark's own."""
+    key, most = BATCH_BYTES
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes row order and ids."""
     spark = df.sparkSession
+    short_batches(spark)
     path = new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
