@@ -65,6 +65,19 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_LEFT: list[DataFrame] = []
+
+
+def leave(*tables: DataFrame) -> None:
+    """Tables that a result still reads: ``release`` deletes them once it has been written."""
+    _LEFT.extend(tables)
+
+
+def release(spark: SparkSession) -> None:
+    discard(spark, *_LEFT)
+    _LEFT.clear()
+
+
 def bucketed(df: DataFrame, key: str, kind: str) -> DataFrame:
     """``df`` as a table bucketed by ``key``, in the shared folder: joins on it do not move the rows again."""
     spark = df.sparkSession
@@ -76,6 +89,13 @@ def bucketed(df: DataFrame, key: str, kind: str) -> DataFrame:
     return out
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def make_dir(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)

@@ -295,6 +295,14 @@ def without_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     return found.mapInArrow(run, StructType([found.schema[c] for c in out]))
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns of whatever names, with benchmark passages cut from the texts. Texts left without a word go."""
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), F.col(text_col).alias("text"))
+    cut = without_spans(find_hits(packed, benchmark))
+    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_hits(docs, table(spark, sf_dir, "benchmark"))

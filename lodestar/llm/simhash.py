@@ -18,10 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bucketed, discard, map_batches, materialize, sliced, table, utf8
+from lodestar.llm.common import bucketed, discard, fresh, leave, map_batches, materialize, sliced, table, utf8
 from lodestar.llm.components import connected_components
 
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 1), dtype=np.uint64)
@@ -201,7 +202,7 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Groups by the similarity of shingle sets itself.
+# Groups by the similarity of shingle sets, with wide fingerprints and pivots as the filter.
 
 #: Every SAMPLE-th row (by a hash) is counted to find frequent shingles; at most MOST_FREQUENT of them are told to the tasks.
 SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 16, 4, 500_000
@@ -209,7 +210,12 @@ SAMPLE, LEAST_OFTEN, MOST_FREQUENT = 16, 4, 500_000
 STAR_LIMIT, STAR_ROUNDS = 16, 3
 #: Keys whose rows are still apart then, and more than this, are dealt to several blocks.
 DEAL = 4096
-SETS = "id long, c1 long, c2 long, n int, shingles array<long>"
+#: Of 256 bits, sets alike in 0.8 differ in 39 on the average (deviation 6), unrelated ones in 128 (deviation 8). A pair
+#: over FAR bits apart is discarded unless a set has fewer shingles than SMALL, whose bits say too little.
+FAR, SMALL, REFERENCES = 80, 16, 12
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+FINGERPRINT = ("f0", "f1", "f2", "f3")
+PRINT = "id long, c1 long, c2 long, n int, prefix array<long>, " + ", ".join(f"{f} long" for f in FINGERPRINT)
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -224,17 +230,35 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(flat[s:e]) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], np.uint64).view(np.int64))
 
 
+def wide_fingerprint(shingles: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    """SimHash of 256 bits as four unsigned words; zero for an empty set."""
+    ones = np.zeros(256, np.int64)
+    for i in range(0, len(shingles), step):
+        h = shingles[i : i + step, None].view(np.uint64) * _ODD
+        h ^= h >> np.uint64(32)
+        h *= _ODD[::-1]
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(shingles)).view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in utf8(batch["text"])]))], ["s"])
+
+    return run
+
+
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
-            sets = [shingle_set(t, width) for t in utf8(batch["text"])]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], ["id", "c1", "c2", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["id"], _lists([shingle_set(t, width) for t in utf8(batch["text"])])], ["id", "shingles"])
 
     return run
 
@@ -244,34 +268,42 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _prefix_rows(frequent: np.ndarray, often: np.ndarray, similarity: float):
-    """frequent: sorted shingles, often: their counts. Rare shingles come first, so a key has few rows."""
+def _print_rows(width: int, similarity: float, shared: Broadcast):
+    """shared: sorted frequent shingles and their counts. Rare shingles come first in a prefix, so a key has few rows."""
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        frequent, often = shared.value
+        weight = np.zeros(len(s), np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+            weight = np.where(frequent[at] == s, often[at], 0)
+        return s[np.lexsort((s, weight))[: prefix_length(len(s), similarity)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for i, s in zip(batch["id"].to_pylist(), batch["shingles"]):
-                s = s.values.to_numpy()
-                weight = np.zeros(len(s), np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    weight = np.where(frequent[at] == s, often[at], 0)
-                first = s[np.lexsort((s, weight))[: prefix_length(len(s), similarity)]]
-                keys.append(first)
-                ids.append(np.full(len(first), i))
-            n = [np.full(len(k), x, np.int32) for k, x in zip(keys, batch["n"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, t)) for v, t in ((keys, np.int64), (ids, np.int64), (n, np.int32))], ["key", "id", "n"])
+        for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
+            sets = [shingle_set(t, width) for t in utf8(batch["text"])]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            bits = np.array([wide_fingerprint(s) for s in sets]).view(np.int64)
+            columns = [batch["id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s) for s in sets]), *[pa.array(bits[:, k]) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PRINT.split(", ")])
 
     return run
 
 
 def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
-    """Pairs of one key whose components differ and whose sizes allow the similarity."""
+    """Pairs of one key whose components differ, whose sizes allow the similarity, and whose fingerprints are near.
+
+    Inside a chunk every fingerprint has a row of distances to reference fingerprints taken from the chunk itself; a pair
+    that differs too much in a coordinate is discarded, and the rest by their own distance.
+    """
+    distance = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
 
     def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, side, n, i, of = (rows[c].to_numpy() for c in ("key", "side", "n", "id", "component"))
+        fp = np.column_stack([rows[f].to_numpy() for f in FINGERPRINT]).view(np.uint64)
         order = np.lexsort((n, key))
-        key, side, n, i, of = key[order], side[order], n[order], i[order], of[order]
+        key, side, n, i, of, fp = key[order], side[order], n[order], i[order], of[order], fp[order]
+        coords = np.stack([distance(fp, p) for p in fp[:: max(1, len(fp) // REFERENCES)][:REFERENCES]], 1)
         left, k = np.arange(len(key)), 1
         while len(left):
             left = left[left + k < len(key)]
@@ -279,7 +311,12 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
             left = left[(key[left] == key[right]) & (n[left] >= similarity * n[right] - 1e-9)]  # by size: a pair too far apart ends its row
             a, b = left, left + k
             live = (of[a] != of[b]) & ((side[a] < 0) | (side[a] != side[b]))
-            x, y = i[a[live]], i[b[live]]
+            a, b = a[live], b[live]
+            near = n[a] < SMALL
+            near[~near] = (np.abs(coords[a[~near]] - coords[b[~near]]) <= FAR).all(1)
+            a, b = a[near], b[near]
+            near = (n[a] < SMALL) | (distance(fp[a], fp[b]) <= FAR)
+            x, y = i[a[near]], i[b[near]]
             for s in range(0, len(x), most):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[s : s + most]), pa.array(np.maximum(x, y)[s : s + most])], ["a", "b"])
             k += 1
@@ -306,24 +343,24 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the similarity."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return shared.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
 
 
 def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFrame:
-    """(a, b) of rows (key, id, n, rows, component) that share enough keys for the similarity.
+    """(a, b) of rows (key, id, n, rows, component, fingerprint) that are near and share enough keys for the similarity.
 
     With prefixes of p of n elements, the overlap is at most the shared keys and the longer rest n - p. A key of over
     ``limit`` rows is cut into sides by a hash of the id, and every two sides meet in a block of their own.
     """
-    base = ["key", "id", "n", "component"]
+    base = ["key", "id", "n", "component", *FINGERPRINT]
     tagged = rows.where(F.col("rows") <= limit).select(*base, F.lit(-1).cast("long").alias("side"))
     hot = rows.where(F.col("rows") > limit).withColumn("sides", F.ceil(F.col("rows") / limit).cast("long"))
     hot = hot.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
     block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    tagged = tagged.union(hot.select(block.alias("key"), "id", "n", "component", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side")))
+    tagged = tagged.union(hot.select(block.alias("key"), *base[1:], F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side")))
     dealt = tagged.repartition("key").sortWithinPartitions("key")
     met = map_batches(dealt, _pairs(similarity), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
     sizes = rows.select("id", "n").distinct()
@@ -336,23 +373,27 @@ def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFra
 def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) under links of word shingle sets with at least this Jaccard similarity; wordless texts are alike.
 
-    Exact up to equal 64-bit hashes: two such sets share a shingle among the first of each (prefix filter, rare ones
-    first), and every pair that shares enough of them is verified on the sets. Any common order is exact, so the
-    frequent shingles may come from a part of the rows. Ids are whole numbers and not null.
+    Two such sets share a shingle among the first of each (prefix filter, rare ones first), so shared shingles make the
+    blocks in which fingerprints meet; every pair left by the pivots is verified on the sets (64-bit hashes). Any common
+    order of shingles will do, so the frequent ones may come from a part of the rows. Ids are whole numbers, unique and
+    not null; ``docs`` should be bucketed by them.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(map_batches(source, _set_rows(width), SETS), "sets")
-    classes = materialize(found.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
-    sets = bucketed(found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "shingles"), "id", "sets")
-    some = found.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s"))
+    some = map_batches(source.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0), _shingle_rows(width), "s long")
     often = some.groupBy("s").count().where(F.col("count") >= LEAST_OFTEN).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
     s, count = often["s"].to_numpy(), often["count"].to_numpy()
     order = np.argsort(s)
-    prefixes = map_batches(sets.select("id", "n", "shingles"), _prefix_rows(s[order], count[order], similarity), "key long, id long, n int")
-    prefixes = materialize(prefixes, "prefixes")
-    shared = materialize(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
-    rows = materialize(prefixes.join(shared, "key").select("key", "id", "n", "rows"), "shared")
-    discard(docs.sparkSession, prefixes)
+    shared = spark.sparkContext.broadcast((s[order], count[order]))
+    prints = materialize(map_batches(source, _print_rows(width, similarity, shared), PRINT), "prints")
+    whole = F.min_by(F.struct("n", "prefix", *FINGERPRINT), "id").alias("x")
+    classes = materialize(prints.groupBy("c1", "c2").agg(F.min("id").alias("id"), whole).select("c1", "c2", "id", "x.*"), "classes")
+    prefixes = classes.select(F.explode("prefix").alias("key"), "id", "n")
+    keys = materialize(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
+    rows = materialize(prefixes.join(keys, "key").select("key", "id", "n", "rows"), "shared")
+    members = rows.select("id").distinct()
+    sets = bucketed(map_batches(source.join(members, "id", "left_semi"), _set_rows(width), "id long, shingles array<long>"), "id", "sets")
+    made = [prints, classes, keys, rows, sets]
 
     edges = None
     alone = rows.withColumn("component", F.col("id"))
@@ -362,17 +403,22 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
         stars = wide.groupBy("key").agg(pick, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "star")
         star = wide.join(stars, "key").where("component <> star.own").select(F.least("star.a", "id").alias("a"), F.greatest("star.a", "id").alias("b")).distinct()
         new = materialize(verified(star, sets, similarity), "stars")
+        made.append(new)
         if new.isEmpty():
             break
         edges = new if edges is None else edges.union(new)
         parts = materialize(connected_components(edges, "a", "b"), "parts")
+        made.append(parts)
         alone = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "rows", F.coalesce("component", "id").alias("component"))
     several = alone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    last = materialize(alone.join(several, "key", "left_semi"), "apart")
+    last = alone.join(several, "key", "left_semi")
+    last = materialize(last.join(classes.select("id", *FINGERPRINT), "id"), "apart")
     new = materialize(verified(candidates(last, similarity), sets, similarity), "links")
     parts = connected_components(new if edges is None else edges.union(new), "a", "b")
-    of = classes.join(parts, classes.rep == parts.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    return found.join(of, ["c1", "c2"]).select("id", "component")
+    of = classes.select("c1", "c2", "id").join(parts, classes.id == parts.node, "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
+    out = materialize(prints.select("id", "c1", "c2").join(of, ["c1", "c2"]).select("id", "component"), "groups")
+    discard(spark, *made, last, new)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -380,9 +426,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts without words stay: there is nothing in them that another has too.
     """
-    rows = materialize(docs.withColumn("lodestar_row", F.monotonically_increasing_id()), "rows")
+    row = fresh("lodestar_row", docs.columns)
+    rows = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row, "rows")
     wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x09-\x0d\x20]*$")
-    groups = similar_groups(rows.where(~wordless), "lodestar_row", text_col, width, similarity)
-    ranked = rows.select(F.col("lodestar_row").alias("id"), F.col(id_col).alias("own")).join(groups, "id", "left")
+    leave(rows)
+    groups = similar_groups(rows.where(~wordless), row, text_col, width, similarity)
+    ranked = rows.select(F.col(row).alias("id"), F.col(id_col).alias("own")).join(groups, "id", "left")
     ranked = ranked.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct(F.col("own").isNull(), F.col("own"), F.col("id"))).alias("k"))
-    return rows.join(ranked.select(F.col("k.id").alias("lodestar_row")), "lodestar_row", "left_semi").drop("lodestar_row")
+    return rows.join(ranked.select(F.col("k.id").alias(row)), row, "left_semi").select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestar.llm.common import bucketed, discard, materialize, sliced, table, utf8
+from lodestar.llm.common import bucketed, discard, leave, materialize, sliced, table, utf8
 from lodestar.llm.suffixsort import deep_shallow
 
 GRAM = 32
@@ -359,6 +359,7 @@ def _cut(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], in_bytes:
     others = [c for c in names if c != text_col]
     packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("others"), F.col(text_col).alias("text"), F.lit(0).alias("zero"))
     rows = keyed(packed, "zero", "text", ["others"])
+    leave(rows)
     rows = rows.join(spans_of(rows), "rid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

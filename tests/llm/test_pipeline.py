@@ -80,3 +80,19 @@ def test_stages(spark, tmp_path):
         lengths[x["doc_id"]] += x["length"]
     assert lengths == {i: len(enc.encode(t or "")) // 4 + 1 for i, t in clean.items()}
     assert cp.run(spark, sf_dir).count() == len(seen["packing"])
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("q1", "one two three four five six seven eight nine ten")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["n_words", "word_spans", "items", "lodestar_row", "lodestar_score", "others", "spans", "rid", "score", "id"]
+    rows = [(1, "x One two three four five six seven eight nine ten y", *"abcdefghij"), (2, "p q r s t", *"klmnopqrst"), (3, None, *"klmnopqrst")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        got = {r["doc_id"]: tuple(r) for r in got.collect()}
+        assert {k: v[2:] for k, v in got.items()} == {r[0]: r[2:] for r in rows}
+    assert corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).where("doc_id = 1").first()["text"] == "x  y"

@@ -107,6 +107,10 @@ def test_similar_texts_meet_and_others_do_not(spark):
     odd = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, simhash.one_of_each(odd).collect()), key=str) == sorted([(7, "a b c d e f"), (None, None), (3, "x y z")], key=str)
     assert simhash.one_of_each(odd.limit(0)).count() == 0
+    from pyspark.sql import functions as F
+
+    named = odd.withColumn("lodestar_row", F.lit("own"))
+    assert sorted(map(tuple, simhash.one_of_each(named).collect()), key=str) == sorted([(7, "a b c d e f", "own"), (None, None, "own"), (3, "x y z", "own")], key=str)
 
 
 def test_every_pair_at_the_stated_similarity_links(spark):
@@ -126,7 +130,7 @@ def test_hot_keys_are_dealt_without_losing_pairs(spark):
     r = random.Random(6)
     prefix = {i: set(r.sample(range(12), 4)) for i in range(60)}  # 4 of 16 elements: similarity 0.8 has 1 + 16 - 13
     often = {k: sum(k in p for p in prefix.values()) for k in range(12)}
-    rows = spark.createDataFrame([(k, i, 16, often[k], i % 50) for i, p in prefix.items() for k in p], "key long, id long, n int, rows long, component long")
+    rows = spark.createDataFrame([(k, i, 16, often[k], i % 50, 0, 0, 0, 0) for i, p in prefix.items() for k in p], "key long, id long, n int, rows long, component long, f0 long, f1 long, f2 long, f3 long")
     want = {(i, j) for j in prefix for i in range(j) if len(prefix[i] & prefix[j]) + 12 >= 16 * 2 * 0.8 / 1.8 and i % 50 != j % 50}
     for limit in (4, 7, 1000):
         assert {tuple(x) for x in simhash.candidates(rows, 0.8, limit).collect()} == want
@@ -140,3 +144,17 @@ def test_a_template_is_linked_by_representatives(spark, monkeypatch):
     monkeypatch.setattr(simhash, "candidates", lambda rows, *a: (asked.append(rows.count()), own(rows, *a))[1])
     got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()
     assert len(got) == 150 and {x["component"] for x in got} == {0} and asked == [0]
+
+
+def test_wide_fingerprints_tell_near_from_far():
+    r = np.random.default_rng(5)
+    for n in (16, 20, 60, 400):
+        far, near = [], []
+        for _ in range(60):
+            a = r.integers(-(2**63), 2**63, n)
+            b = np.concatenate([a[: -(-8 * n // 9)], r.integers(-(2**63), 2**63, n // 9)])  # similarity about 0.8
+            other = r.integers(-(2**63), 2**63, n)
+            bits = lambda x, y: int(np.bitwise_count(simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)).sum())
+            near.append(bits(a, b))
+            far.append(bits(a, other))
+        assert max(near) <= simhash.FAR < min(far)
