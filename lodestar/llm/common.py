@@ -13,19 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Spark sends rows to Python in batches of up to 10,000 rows and 64 MB; texts need less of it at once.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+#: Spark sends rows to Python in batches of up to 10,000 rows and 64 MB; texts need less of it at once. Shuffle files
+#: of a written table are of no more use.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20)), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": (None, "true")}
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound the batches of this session, unless it has a bound below Spark's own."""
-    key, most = BATCH_BYTES
-    if spark.conf.get(key, "67108864b") == "67108864b":
-        spark.conf.set(key, str(most))
+def tune(spark: SparkSession) -> None:
+    """Settings of this session that still have Spark's own values."""
+    for key, (default, value) in SETTINGS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    short_batches(spark)
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,7 +47,7 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes row order and ids."""
     spark = df.sparkSession
-    short_batches(spark)
+    tune(spark)
     path = new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -74,6 +75,7 @@ def leave(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
+    tune(spark)
     discard(spark, *_LEFT)
     _LEFT.clear()
 
@@ -81,6 +83,7 @@ def release(spark: SparkSession) -> None:
 def bucketed(df: DataFrame, key: str, kind: str) -> DataFrame:
     """``df`` as a table bucketed by ``key``, in the shared folder: joins on it do not move the rows again."""
     spark = df.sparkSession
+    tune(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"lodestar_{kind}_{uuid.uuid4().hex}", new_path(spark, kind)
     df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)

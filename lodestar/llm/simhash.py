@@ -256,9 +256,12 @@ def _shingle_rows(width: int):
 
 
 def _set_rows(width: int):
+    """Sets for comparing pairs keep 32 bits of each hash, which miscounts about one shingle in 50,000 pairs."""
+    cut = lambda t: np.unique(shingle_set(t, width).view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
-            yield pa.RecordBatch.from_arrays([batch["id"], _lists([shingle_set(t, width) for t in utf8(batch["text"])])], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["id"], _lists([cut(t) for t in utf8(batch["text"])])], ["id", "shingles"])
 
     return run
 
@@ -341,12 +344,26 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity."""
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows (id, n, fingerprint) whose fingerprints are near, or whose sets are too small to tell."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.array(*FINGERPRINT).alias(f"f{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where((F.least("na", "nb") < SMALL) | (apart <= FAR)).select("a", "b")
+
+
+def verified(pairs: DataFrame, source: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity; sets are made of the texts that occur in a pair."""
+    spark = pairs.sparkSession
+    pairs = materialize(pairs, "pairs")
+    members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = materialize(map_batches(source.join(members, "id", "left_semi"), _set_rows(width), "id long, shingles array<int>"), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return shared.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
+    out = materialize(shared.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b"), "links")
+    discard(spark, pairs, sets)
+    return out
 
 
 def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFrame:
@@ -387,13 +404,15 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
     shared = spark.sparkContext.broadcast((s[order], count[order]))
     prints = materialize(map_batches(source, _print_rows(width, similarity, shared), PRINT), "prints")
     whole = F.min_by(F.struct("n", "prefix", *FINGERPRINT), "id").alias("x")
-    classes = materialize(prints.groupBy("c1", "c2").agg(F.min("id").alias("id"), whole).select("c1", "c2", "id", "x.*"), "classes")
-    prefixes = classes.select(F.explode("prefix").alias("key"), "id", "n")
+    full = materialize(prints.groupBy("c1", "c2").agg(F.min("id").alias("id"), whole).select("c1", "c2", "id", "x.*"), "classes")
+    ids = materialize(prints.select("id", "c1", "c2"), "ids")
+    discard(spark, prints)
+    prefixes = full.select(F.explode("prefix").alias("key"), "id")
     keys = materialize(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
-    rows = materialize(prefixes.join(keys, "key").select("key", "id", "n", "rows"), "shared")
-    members = rows.select("id").distinct()
-    sets = bucketed(map_batches(source.join(members, "id", "left_semi"), _set_rows(width), "id long, shingles array<long>"), "id", "sets")
-    made = [prints, classes, keys, rows, sets]
+    rows = materialize(prefixes.join(keys, "key").select("key", "id", "rows"), "shared")
+    classes = materialize(full.drop("prefix"), "classes")
+    discard(spark, full, keys)
+    made = [ids, classes, rows]
 
     edges = None
     alone = rows.withColumn("component", F.col("id"))
@@ -402,21 +421,20 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
         pick = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("x"), F.col("id").alias("a"), F.col("component").alias("own"))).alias("star")
         stars = wide.groupBy("key").agg(pick, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "star")
         star = wide.join(stars, "key").where("component <> star.own").select(F.least("star.a", "id").alias("a"), F.greatest("star.a", "id").alias("b")).distinct()
-        new = materialize(verified(star, sets, similarity), "stars")
+        new = verified(near(star, classes), source, similarity, width)
         made.append(new)
         if new.isEmpty():
             break
         edges = new if edges is None else edges.union(new)
         parts = materialize(connected_components(edges, "a", "b"), "parts")
         made.append(parts)
-        alone = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "rows", F.coalesce("component", "id").alias("component"))
+        alone = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "rows", F.coalesce("component", "id").alias("component"))
     several = alone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    last = alone.join(several, "key", "left_semi")
-    last = materialize(last.join(classes.select("id", *FINGERPRINT), "id"), "apart")
-    new = materialize(verified(candidates(last, similarity), sets, similarity), "links")
+    last = materialize(alone.join(several, "key", "left_semi").join(classes.select("id", "n", *FINGERPRINT), "id"), "apart")
+    new = verified(candidates(last, similarity), source, similarity, width)
     parts = connected_components(new if edges is None else edges.union(new), "a", "b")
     of = classes.select("c1", "c2", "id").join(parts, classes.id == parts.node, "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
-    out = materialize(prints.select("id", "c1", "c2").join(of, ["c1", "c2"]).select("id", "component"), "groups")
+    out = materialize(ids.join(of, ["c1", "c2"]).select("id", "component"), "groups")
     discard(spark, *made, last, new)
     return out
 
