@@ -420,7 +420,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
         wide = alone.where(F.col("rows") > STAR_LIMIT)
         pick = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("x"), F.col("id").alias("a"), F.col("component").alias("own"))).alias("star")
         stars = wide.groupBy("key").agg(pick, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "star")
-        star = wide.join(stars, "key").where("component <> star.own").select(F.least("star.a", "id").alias("a"), F.greatest("star.a", "id").alias("b")).distinct()
+        met = wide.join(stars, "key").where("component <> star.own").groupBy("id").agg(F.min("star")["a"].alias("x"), F.min(F.struct("rows", "key", "star.a"))["a"].alias("y"))
+        met = met.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("to"))  # the first of its stars, and that of its rarest key
+        star = met.select(F.least("to", "id").alias("a"), F.greatest("to", "id").alias("b")).distinct()
         new = verified(near(star, classes), source, similarity, width)
         made.append(new)
         if new.isEmpty():
