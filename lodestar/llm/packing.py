@@ -63,9 +63,11 @@ class Encoder:
         self.known = {b"": b""}
         self.add([b",", b"."])
 
-    def add(self, parts: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        self.known.update(zip(parts, [array("I", e.ids).tobytes() for e in encoded]))
+    def add(self, parts: list[bytes], step: int = 4096) -> None:
+        for i in range(0, len(parts), step):  # what the tokenizer returns is far larger than the ids
+            some = parts[i : i + step]
+            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            self.known.update(zip(some, [array("I", e.ids).tobytes() for e in encoded]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Texts with "<|" are encoded whole: special tokens are looked for before case is lowered."""
