@@ -26,6 +26,8 @@ from lodestar.llm.common import discard, make_dir, materialize, new_path, sliced
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 18
 LEAST_REVISIT = 1000
+#: Most tasks that read splits; with more splits each reads several.
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -153,7 +155,7 @@ def records_in(source: Source, start: int, end: int) -> Iterator[tuple[int, dict
                 return
         got = source.inflate(pos)
         parsed = parse(got[0]) if got else None
-        if parsed is None or (got[1] < source.size and not chained and source.at(got[1], 3) != MAGIC):
+        if parsed is None:
             pos, chained = pos + 1, False
             continue
         yield pos, *parsed
@@ -174,8 +176,9 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 8 << 20)
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
     cut = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    splits = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split_bytes)), F.lit(0)).cast("long")).first()[0]
     fields = pa.schema([(n, ARROW[k]) for n, k in (f.split() for f in RECORD.split(", "))])
-    dealt = cut.repartition("path", "start")
+    dealt = cut.repartition(min(max(splits, 1), MOST_TASKS))  # a stated number: split rows are tiny, and would be merged into one task otherwise
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
