@@ -319,9 +319,11 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
             near[~near] = (np.abs(coords[a[~near]] - coords[b[~near]]) <= FAR).all(1)
             a, b = a[near], b[near]
             near = (n[a] < SMALL) | (distance(fp[a], fp[b]) <= FAR)
-            x, y = i[a[near]], i[b[near]]
-            for s in range(0, len(x), most):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[s : s + most]), pa.array(np.maximum(x, y)[s : s + most])], ["a", "b"])
+            a, b = a[near], b[near]
+            a, b = np.where(i[a] < i[b], a, b), np.where(i[a] < i[b], b, a)
+            for s in range(0, len(a), most):
+                x, y = a[s : s + most], b[s : s + most]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i[x], i[y], n[x], n[y])], ["a", "b", "na", "nb"])
             k += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,9 +381,7 @@ def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFra
     block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     tagged = tagged.union(hot.select(block.alias("key"), *base[1:], F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side")))
     dealt = tagged.repartition("key").sortWithinPartitions("key")
-    met = map_batches(dealt, _pairs(similarity), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    sizes = rows.select("id", "n").distinct()
-    met = met.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    met = map_batches(dealt, _pairs(similarity), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
     rest = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
     enough = F.col("met") + F.greatest(rest("na"), rest("nb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
     return met.where(enough).select("a", "b")
