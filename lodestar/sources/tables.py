@@ -165,7 +165,9 @@ class Table:
         lines.select(checked.alias(ROW), *[t.alias(n) for t, n in zip(typed, names)]).write.parquet(staged)  # numbers rise with the lines
         read = self.spark.read.parquet(staged)
         try:
-            return self._append(read.withColumn(ROW, F.col(ROW) + self.next_row), int((read.agg(F.max(ROW)).first()[0] if read.take(1) else -1) + 1))
+            rows, last = read.agg(F.count(F.lit(1)), F.max(ROW)).first()  # row numbers have gaps between partitions
+            self._append(read.withColumn(ROW, F.col(ROW) + self.next_row), int(-1 if last is None else last) + 1)
+            return rows
         finally:
             fs, p = self.tables._fs(staged)
             fs.delete(p, True)
