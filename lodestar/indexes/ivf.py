@@ -29,6 +29,16 @@ def distances(metric: str, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, 1 - rows @ query / np.where(norms > 0, norms, 1), 1.0)
 
 
+def _nearest(metric: str, rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per row the nearest centre, by one matrix product; rows without a direction go to the first."""
+    if metric == "L2":
+        return np.argmin((centres**2).sum(1) - 2 * (rows @ centres.T), axis=1)
+    norms = np.linalg.norm(centres, axis=1)
+    dots = (rows @ centres.T) / np.where(norms > 0, norms, 1)
+    sizes = np.linalg.norm(rows, axis=1)[:, None]
+    return np.argmin(np.where((sizes > 0) & (norms > 0), 1 - dots / np.where(sizes > 0, sizes, 1), 1.0), axis=1)
+
+
 def train_centres(df: DataFrame, vector_col: str, id_col: str, cells: int | None = None, metric: str = "COSINE", seed: int = 42) -> np.ndarray:
     """Centres from at most SAMPLE_ROWS rows chosen by a hash of their id; the root of the row count unless given."""
     n = df.count()
@@ -51,7 +61,13 @@ def nearest_cell(vector: Column, centres: np.ndarray, metric: str = "COSINE") ->
     """Number of the nearest centre, the smallest on ties; -1 for null vectors."""
     @F.pandas_udf(IntegerType())
     def assign(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: -1 if v is None else int(np.argmin(distances(metric, np.asarray(v, float), centres))))
+        out = np.full(len(rows), -1, np.int32)
+        known = np.flatnonzero(rows.notna().to_numpy())
+        step = max(1, (1 << 22) // len(centres))
+        for s in range(0, len(known), step):
+            some = known[s : s + step]
+            out[some] = _nearest(metric, np.stack(rows.iloc[some].to_list()).astype(float), centres)
+        return pd.Series(out)
 
     return assign(vector)
 

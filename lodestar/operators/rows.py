@@ -75,3 +75,8 @@ def page(ordered: DataFrame, number: int, size: int) -> DataFrame:
     if number < 1 or size < 1:
         raise ValueError("pages and their size count from 1")
     return ordered.offset((number - 1) * size).limit(size)
+
+
+def page_of(ordered: DataFrame, number: int, size: int) -> tuple[DataFrame, int]:
+    """A page, and how many rows the whole result has."""
+    return page(ordered, number, size), ordered.count()

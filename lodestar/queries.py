@@ -23,6 +23,7 @@ from lodestar.operators import hybrid, rows, search
 from lodestar.operators.nearest import nearest_places, nearest_vectors
 from lodestar.recommend import Conditions, recommend
 from lodestar.scratch import new_folder, table
+from lodestar.sources.named import Indexes
 from lodestar.sources.tables import Tables
 from lodestar.streaming import events as ev
 
@@ -474,6 +475,20 @@ def recommend_exact(spark, d):
     return out.select("id", rounded(F.col("distance")).alias("distance"))
 
 
+@query(f"with {Q0}, {ITEMS} select id, {R6.format(COS)} as distance from items, q where price <= 960 and id <> 0 order by {COS}, id limit 8")
+def recommend_embedding(spark, d):
+    it = items(spark, d)
+    cells = Cells.build(it, new_folder(spark, "ivf"), "embedding", "id", 8)
+    out = recommend(it, "embedding", 8, conditions=Conditions(960), like=0, vectors=cells, probes=8)
+    return out.select("id", rounded(F.col("distance")).alias("distance"))
+
+
+@query(f"with {ITEMS}, {BAG}, {STATS}, qw as (select term, log10(n / df) as qw from df, n where term = 'thor'), s as (select doc_id, sum(w * qw) / (any_value(norm) * any_value(qw)) as score from w join qw using (term) join norm using (doc_id) group by doc_id) select id, {R6.format('score')} as score from items join s on doc_id = id where price <= 960 order by round(score, 9) desc, id limit 8")
+def recommend_text(spark, d):
+    out = recommend(items(spark, d), "text", 8, conditions=Conditions(960), query="thor", text=plain_index(spark, d))
+    return out.select(F.col("doc_id").alias("id"), rounded(F.col("score")).alias("score"))
+
+
 @query(f"with {Q0}, {VEC}, {GEO} select vec_id, {R6.format(COS)} as distance, {R6.format(KM)} as km from vec join geo using (vec_id), q where {KM} <= 3 order by {COS}, vec_id limit 10")
 def sql_functions(spark, d):
     """One statement of Spark SQL with the registered functions."""
@@ -496,7 +511,7 @@ def explain_plan(spark, d):
 
 def _emp(spark, d, sequential: bool = False):
     t = Tables(spark, new_folder(spark, "tables")).create("emp", ["id INT PRIMARY KEY", "name CHAR(30)", "dept CHAR(5)", "salary FLOAT"], sequential)
-    source = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal").coalesce(1)
+    source = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     csv = new_folder(spark, "csv")
     source.orderBy("c_custkey").write.option("header", False).csv(csv)
     t.copy_csv(csv)
@@ -523,6 +538,50 @@ def insert_then_select(spark, d):
     return t.rows().where("salary < 100").select("id", "salary")
 
 
+CHANGED = "changed as (select c_custkey::int as id, c_name as name, left(c_mktsegment, 5) as dept, c_acctbal as salary from customer where not c_name like '%42%' union all select 900001, 'two new words', 'Sales', 1.5)"
+
+
+def _changed(spark, d, column: str, kind: str, **options):
+    """A table with an index that was there before an insert and a delete."""
+    t = _emp(spark, d)
+    index = Indexes(t.tables).create(t, "by_it", column, kind, **options)
+    t.insert([(900001, "two new words", "Sales", 1.5)])
+    t.delete(F.col("name").contains("42"))
+    return t, index
+
+
+@query(f"with {CHANGED} select id, salary from changed where salary between 0 and 1000")
+def index_range_after_changes(spark, d):
+    return _changed(spark, d, "salary", "BTREE")[1].between(0, 1000).select("id", "salary")
+
+
+@query(f"with {CHANGED} select id, name from changed where dept = 'Sales' or dept = 'BUILD'")
+def index_equal_after_changes(spark, d):
+    index = _changed(spark, d, "dept", "HASH", buckets=8)[1]
+    return index.equal("Sales").union(index.equal("BUILD")).select("id", "name")
+
+
+@query(f"with {CHANGED} select id, name from changed where name like '%new%' or name = 'Customer#000000007'")
+def index_text_after_changes(spark, d):
+    index = _changed(spark, d, "name", "INVERTED", analyzer="raw")[1]
+    return index.matching("new OR Customer#000000007").select("id", "name")
+
+
+@query("select c_custkey::int as id, c_name as name from customer where not list_contains(regexp_extract_all(lower(c_name), '[a-z0-9]+'), '000000007')")
+def delete_by_text(spark, d):
+    t = _emp(spark, d)
+    t.delete(condition("000000007", "raw").column(tx.words(F.col("name"))))
+    return t.rows().select("id", "name")
+
+
+@query("select 'scan' as path, 'HEAP' as structure, null::varchar as index, count(*)::double as estimated_rows, false as chosen from customer union all select '= on id', 'HASH', 'by_it', count(*) * 0.1, true from customer")
+def explain_paths(spark, d):
+    t = _emp(spark, d)
+    indexes = Indexes(t.tables)
+    indexes.create(t, "by_it", "id", "HASH")
+    return indexes.paths(t, [("id", "="), ("dept", "range")])
+
+
 @query("select min(id) as low, max(id) as high, count(distinct id) as n from range(1, 1001) t(id)")
 def generated_employees(spark, d):
     return employees(spark, 1000).agg(F.min("id").cast("long").alias("low"), F.max("id").cast("long").alias("high"), F.count_distinct("id").alias("n"))

@@ -19,6 +19,8 @@ from lodestar.indexes.keys import DuplicateKey, check_unique
 from lodestar.types import Field, ValueProblem, column
 
 ROW = "_rid"
+#: About so many bytes in a file after compaction.
+FILE_BYTES = 256 << 20
 
 
 class TableError(ValueError):
@@ -85,17 +87,22 @@ class Table:
         out.close()
         self.folders, self.next_row, self.version = folders, next_row, self.version + 1
 
-    def rows(self, row_numbers: bool = False) -> DataFrame:
-        """All rows: in key order for sequential tables, else in order of insertion when sorted by the hidden number."""
-        df = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in self.folders]) if self.folders else self.spark.createDataFrame([], self.schema)
+    def rows(self, row_numbers: bool = False, folders: list[str] | None = None) -> DataFrame:
+        """All rows, or those of some folders: in key order for sequential tables, else in order of insertion when sorted by the hidden number."""
+        folders = self.folders if folders is None else folders
+        df = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
         return df if row_numbers else df.drop(ROW)
 
     def ordered(self) -> DataFrame:
         return self.rows(True).orderBy(*([self.key] if self.sequential else []), ROW).drop(ROW)
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, files: int | None = None) -> str:
         folder = f"data-{uuid.uuid4().hex}"
-        dealt = df.repartitionByRange(self.key).sortWithinPartitions(self.key) if self.sequential else df
+        number = [files] if files else []
+        if self.sequential:
+            dealt = df.repartitionByRange(*number, self.key).sortWithinPartitions(self.key)
+        else:
+            dealt = df.repartitionByRange(files, ROW).sortWithinPartitions(ROW) if files else df
         dealt.write.parquet(f"{self.path}/{folder}")
         return folder
 
@@ -181,9 +188,12 @@ class Table:
         return gone
 
     def compact(self) -> None:
-        """One folder instead of many; sequential tables are dealt by key again."""
-        if len(self.folders) > 1:
-            self._commit([self._write(self.rows(True))], self.next_row)
+        """One folder of few files instead of many; sequential tables are dealt by key again."""
+        fs, _ = self.tables._fs(self.path)
+        sizes = [s.getLen() for f in self.folders for s in fs.listStatus(self.tables._fs(f"{self.path}/{f}")[1]) if s.getPath().getName().endswith(".parquet")]
+        files = max(1, -(-sum(sizes) // FILE_BYTES))
+        if len(self.folders) > 1 or len(sizes) > files:
+            self._commit([self._write(self.rows(True), files)], self.next_row)
 
     def info(self) -> dict:
         """What a client lists: columns, order, rows, folders, files and bytes."""
