@@ -215,7 +215,10 @@ DEAL = 4096
 FAR, SMALL, REFERENCES = 80, 16, 12
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 FINGERPRINT = ("f0", "f1", "f2", "f3")
-PRINT = "id long, c1 long, c2 long, n int, prefix array<long>, " + ", ".join(f"{f} long" for f in FINGERPRINT)
+#: 256 parities of a set: two sets differ in at least as many elements as their parities differ in bits.
+PARITY = ("p0", "p1", "p2", "p3")
+BITS = (*FINGERPRINT, *PARITY)
+PRINT = "id long, c1 long, c2 long, n int, prefix array<long>, " + ", ".join(f"{f} long" for f in BITS)
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -242,6 +245,17 @@ def wide_fingerprint(shingles: np.ndarray, step: int = 1 << 13) -> np.ndarray:
     return np.packbits(ones * 2 > len(shingles)).view(np.uint64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 256 buckets of hashes, whether the set has an odd number in it; four unsigned words."""
+    buckets = (shingles.view(np.uint64) * _ODD[1]) >> np.uint64(56)
+    return np.packbits(np.bincount(buckets.astype(np.int64), minlength=256) & 1).view(np.uint64)
+
+
+def most_different(similarity: float) -> float:
+    """Two sets of this similarity or more differ in at most so many elements for each element they have."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
@@ -286,26 +300,28 @@ def _print_rows(width: int, similarity: float, shared: Broadcast):
         for batch in (part for whole in batches for part in sliced(whole, "text", 1 << 20)):
             sets = [shingle_set(t, width) for t in utf8(batch["text"])]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            bits = np.array([wide_fingerprint(s) for s in sets]).view(np.int64)
-            columns = [batch["id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s) for s in sets]), *[pa.array(bits[:, k]) for k in range(4)]]
+            bits = np.array([np.concatenate([wide_fingerprint(s), parities(s)]) for s in sets]).view(np.int64)
+            columns = [batch["id"], pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s) for s in sets]), *[pa.array(bits[:, k]) for k in range(len(BITS))]]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PRINT.split(", ")])
 
     return run
 
 
 def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
-    """Pairs of one key whose components differ, whose sizes allow the similarity, and whose fingerprints are near.
+    """Pairs of one key whose components differ, whose sizes and parities allow the similarity, and whose fingerprints are near.
 
     Inside a chunk every fingerprint has a row of distances to reference fingerprints taken from the chunk itself; a pair
-    that differs too much in a coordinate is discarded, and the rest by their own distance.
+    that differs too much in a coordinate is discarded, and the rest by their own distance, then by their parities.
     """
+    share = most_different(similarity)
     distance = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
 
     def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, side, n, i, of = (rows[c].to_numpy() for c in ("key", "side", "n", "id", "component"))
         fp = np.column_stack([rows[f].to_numpy() for f in FINGERPRINT]).view(np.uint64)
+        odd = np.column_stack([rows[p].to_numpy() for p in PARITY]).view(np.uint64)
         order = np.lexsort((n, key))
-        key, side, n, i, of, fp = key[order], side[order], n[order], i[order], of[order], fp[order]
+        key, side, n, i, of, fp, odd = key[order], side[order], n[order], i[order], of[order], fp[order], odd[order]
         coords = np.stack([distance(fp, p) for p in fp[:: max(1, len(fp) // REFERENCES)][:REFERENCES]], 1)
         left, k = np.arange(len(key)), 1
         while len(left):
@@ -320,6 +336,8 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
             a, b = a[near], b[near]
             near = (n[a] < SMALL) | (distance(fp[a], fp[b]) <= FAR)
             a, b = a[near], b[near]
+            near = distance(odd[a], odd[b]) <= share * (n[a] + n[b]) + 1e-6
+            a, b = a[near], b[near]
             a, b = np.where(i[a] < i[b], a, b), np.where(i[a] < i[b], b, a)
             for s in range(0, len(a), most):
                 x, y = a[s : s + most], b[s : s + most]
@@ -346,12 +364,16 @@ def _pairs(similarity: float, chunk: int = 50_000, most: int = 1 << 18):
     return run
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows (id, n, fingerprint) whose fingerprints are near, or whose sets are too small to tell."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.array(*FINGERPRINT).alias(f"f{c}"))
+def near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows (id, n, fingerprint, parities) that may have the similarity.
+
+    Their fingerprints are near, or their sets too small to tell, and their parities differ in few bits.
+    """
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.array(*FINGERPRINT).alias(f"f{c}"), F.array(*PARITY).alias(f"p{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return both.where((F.least("na", "nb") < SMALL) | (apart <= FAR)).select("a", "b")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    alike = (F.least("na", "nb") < SMALL) | (apart("fa", "fb") <= FAR)
+    return both.where(alike & (apart("pa", "pb") <= most_different(similarity) * (F.col("na") + F.col("nb")) + 1e-6)).select("a", "b")
 
 
 def verified(pairs: DataFrame, source: DataFrame, similarity: float, width: int = 5) -> DataFrame:
@@ -369,12 +391,12 @@ def verified(pairs: DataFrame, source: DataFrame, similarity: float, width: int
 
 
 def candidates(rows: DataFrame, similarity: float, limit: int = DEAL) -> DataFrame:
-    """(a, b) of rows (key, id, n, rows, component, fingerprint) that are near and share enough keys for the similarity.
+    """(a, b) of rows (key, id, n, rows, component, fingerprint, parities) that are near and share enough keys for the similarity.
 
     With prefixes of p of n elements, the overlap is at most the shared keys and the longer rest n - p. A key of over
     ``limit`` rows is cut into sides by a hash of the id, and every two sides meet in a block of their own.
     """
-    base = ["key", "id", "n", "component", *FINGERPRINT]
+    base = ["key", "id", "n", "component", *BITS]
     tagged = rows.where(F.col("rows") <= limit).select(*base, F.lit(-1).cast("long").alias("side"))
     hot = rows.where(F.col("rows") > limit).withColumn("sides", F.ceil(F.col("rows") / limit).cast("long"))
     hot = hot.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
@@ -391,7 +413,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
     """(id, component) under links of word shingle sets with at least this Jaccard similarity; wordless texts are alike.
 
     Two such sets share a shingle among the first of each (prefix filter, rare ones first), so shared shingles make the
-    blocks in which fingerprints meet; every pair left by the pivots is verified on the sets (64-bit hashes). Any common
+    blocks in which fingerprints meet; every pair left by the pivots and the parities is verified on the sets (64-bit hashes). Any common
     order of shingles will do, so the frequent ones may come from a part of the rows. Ids are whole numbers, unique and
     not null; ``docs`` should be bucketed by them.
     """
@@ -403,7 +425,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
     order = np.argsort(s)
     shared = spark.sparkContext.broadcast((s[order], count[order]))
     prints = materialize(map_batches(source, _print_rows(width, similarity, shared), PRINT), "prints")
-    whole = F.min_by(F.struct("n", "prefix", *FINGERPRINT), "id").alias("x")
+    whole = F.min_by(F.struct("n", "prefix", *BITS), "id").alias("x")
     full = materialize(prints.groupBy("c1", "c2").agg(F.min("id").alias("id"), whole).select("c1", "c2", "id", "x.*"), "classes")
     ids = materialize(prints.select("id", "c1", "c2"), "ids")
     discard(spark, prints)
@@ -423,7 +445,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
         met = wide.join(stars, "key").where("component <> star.own").groupBy("id").agg(F.min("star")["a"].alias("x"), F.min(F.struct("rows", "key", "star.a"))["a"].alias("y"))
         met = met.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("to"))  # the first of its stars, and that of its rarest key
         star = met.select(F.least("to", "id").alias("a"), F.greatest("to", "id").alias("b")).distinct()
-        new = verified(near(star, classes), source, similarity, width)
+        new = verified(near(star, classes, similarity), source, similarity, width)
         made.append(new)
         if new.isEmpty():
             break
@@ -432,7 +454,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", width:
         made.append(parts)
         alone = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "rows", F.coalesce("component", "id").alias("component"))
     several = alone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    last = materialize(alone.join(several, "key", "left_semi").join(classes.select("id", "n", *FINGERPRINT), "id"), "apart")
+    last = materialize(alone.join(several, "key", "left_semi").join(classes.select("id", "n", *BITS), "id"), "apart")
     new = verified(candidates(last, similarity), source, similarity, width)
     parts = connected_components(new if edges is None else edges.union(new), "a", "b")
     of = classes.select("c1", "c2", "id").join(parts, classes.id == parts.node, "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))

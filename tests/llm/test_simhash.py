@@ -130,7 +130,8 @@ def test_hot_keys_are_dealt_without_losing_pairs(spark):
     r = random.Random(6)
     prefix = {i: set(r.sample(range(12), 4)) for i in range(60)}  # 4 of 16 elements: similarity 0.8 has 1 + 16 - 13
     often = {k: sum(k in p for p in prefix.values()) for k in range(12)}
-    rows = spark.createDataFrame([(k, i, 16, often[k], i % 50, 0, 0, 0, 0) for i, p in prefix.items() for k in p], "key long, id long, n int, rows long, component long, f0 long, f1 long, f2 long, f3 long")
+    bits = ", ".join(f"{c} long" for c in simhash.BITS)
+    rows = spark.createDataFrame([(k, i, 16, often[k], i % 50, *[0] * 8) for i, p in prefix.items() for k in p], f"key long, id long, n int, rows long, component long, {bits}")
     want = {(i, j) for j in prefix for i in range(j) if len(prefix[i] & prefix[j]) + 12 >= 16 * 2 * 0.8 / 1.8 and i % 50 != j % 50}
     for limit in (4, 7, 1000):
         assert {tuple(x) for x in simhash.candidates(rows, 0.8, limit).collect()} == want
@@ -158,3 +159,16 @@ def test_wide_fingerprints_tell_near_from_far():
             near.append(bits(a, b))
             far.append(bits(a, other))
         assert max(near) <= simhash.FAR < min(far)
+
+
+def test_parities_never_differ_more_than_their_sets():
+    r = np.random.default_rng(8)
+    below = 0
+    for n in (0, 1, 5, 17, 60, 300, 5000):
+        for same in (0, n // 2, 3 * n // 4, n):
+            a = r.integers(-(2**63), 2**63, n)
+            b = np.concatenate([a[:same], r.integers(-(2**63), 2**63, n - same)])
+            bits = int(np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum())
+            assert bits <= 2 * (n - same)
+            below += n in (17, 60) and same == 3 * n // 4 and bits > simhash.most_different(0.8) * 2 * n
+    assert below == 2  # sets alike in 0.6 are told apart
