@@ -11,10 +11,11 @@ the counts of earlier partitions plus their place in their own, so nothing is so
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from lodestar.llm.common import materialize, sliced, table
 SIZE = 2048
 #: Bounds of the search: branches tried in all, fillings considered for each largest length.
 NODES, FILLINGS = 300, 24
-CACHE = 400_000
+CACHE = 600_000
 
 
 def word_bpe_path() -> str:
@@ -39,16 +40,24 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _letter(c: str) -> bool:
-    return c.isascii() and c.isalnum() or "\u00c0" <= c <= "\u024f" and c.isalpha() and len(c.lower()) == 1
+#: Words of lower-case letters up to U+00FF, in UTF-8: each is one word to the tokenizer, and as it is in normal form.
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: A part that ends in symbols after a letter or digit; the tokenizer always cuts between the two.
+TAIL = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, the rest from 256 on."""
+    hidden = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+    return {x: 256 + i for i, x in enumerate(hidden)}
 
 
 class Encoder:
     """Token ids (little-endian unsigned 32-bit) of whole texts.
 
     The tokenizer lowers case, drops white space and joins nothing across it, so a text is encoded by its parts
-    between blanks and line ends, with A-Z lowered; a comma or full stop after a letter is a part of its own.
-    Parts seen before come from a bounded cache.
+    between blanks and line ends, with A-Z lowered; symbols at the end of a part are a part of their own. Plain words
+    need none of the tokenizer's rules and go to its merges at once. Parts seen before come from a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -56,32 +65,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = {b"": b""}
-        self.add([b",", b"."])
-
-    def add(self, parts: list[bytes], step: int = 4096) -> None:
-        for i in range(0, len(parts), step):  # what the tokenizer returns is far larger than the ids
-            some = parts[i : i + step]
-            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.known.update(zip(some, [array("I", e.ids).tobytes() for e in encoded]))
+        self.merges = Tokenizer(self.tokenizer.model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        hidden = byte_letters()
+        self.hidden = [(chr(x), chr(hidden[x])) for x in range(0x9F, 0xC0) if x in hidden]  # of those that words have
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def add(self, parts: Iterable[bytes], step: int = 4096) -> None:
+        words, others = [], []
+        for p in parts:
+            (words if p.isalpha() or WORD.fullmatch(p) else others).append(p)
+        for i in range(0, len(words), step):  # what the tokenizer returns is far larger than the ids
+            self.known.update(zip(words[i : i + step], self.merged(words[i : i + step])))
+        for i in range(0, len(others), step):
+            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in others[i : i + step]], add_special_tokens=False)
+            self.known.update(zip(others[i : i + step], [array("I", e.ids).tobytes() for e in encoded]))
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words; the last token of each, and no other, is one that ends a word."""
+        joined = b"\n".join(words).decode("latin-1")
+        for x, y in self.hidden:
+            joined = joined.replace(x, y)
+        [encoding] = self.merges.encode_batch_fast([joined.split("\n")], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoding.ids, np.uint32)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *ends], ends)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Texts with "<|" are encoded whole: special tokens are looked for before case is lowered."""
         parts = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.clear()
+        here = set().union(*parts)
+        if len(self.known) > CACHE:  # what these texts have stays
+            self.known = {b"": b"", **{p: self.known[p] for p in here if p in self.known}}
         known = self.known
-        new = {p for words in parts for p in words if p not in known}
-        marked = {p for p in new if p[-1:] in (b",", b".") and len(p) > 1 and _letter(p[:-1].decode()[-1])}
-        bare = {p[:-1] for p in marked}
-        self.add([p for p in (new - marked) | bare if p not in known])
-        for p in marked:
-            known[p] = known[p[:-1]] + known[p[-1:]]
-        out = [b"".join([known[p] for p in words]) for words in parts]
+        new = here.difference(known)
+        tails = {p: m.groups() for p in new if not p[-1:].isalnum() and (m := TAIL.fullmatch(p))}
+        self.add(new.difference(tails).union(*tails.values()).difference(known))
+        for p, (head, tail) in tails.items():
+            known[p] = known[head] + known[tail]
+        out = [b"".join(map(known.__getitem__, words)) for words in parts]
         for i in (i for i, t in enumerate(texts) if "<|" in t):
             out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
@@ -189,7 +214,7 @@ def merged(first: int, chosen: tuple) -> tuple:
 
 
 def plan(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> list[tuple[tuple, int]]:
-    """As few sequences as the search finds; optimal whenever they meet the lower bound or the search is exhausted."""
+    """As few sequences as the bounded search finds: the fewest possible if they meet the lower bound, else perhaps not."""
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, size)
     count = lambda p: sum(n for _, n in p)
